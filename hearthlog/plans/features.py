@@ -272,7 +272,7 @@ def p7_lag_gate(spark, sf_dir):
 
 
 @query("p14_required_columns", sql(SAMPLES, """
-SELECT household_id, horizon_h, count(*) AS n FROM smp WHERE y IS NOT NULL AND state_now IS NOT NULL AND coverage IS NOT NULL GROUP BY ALL"""))
+SELECT household_id, horizon_h, count(*) AS n FROM smp WHERE (y + state_now + coverage) > -1 GROUP BY ALL"""))
 def p14_required_columns(spark, sf_dir):
     return f.usable_rows(samples(build.events(spark, sf_dir))).groupBy("household_id", "horizon_h").agg(
         F.count("*").alias("n"))

@@ -48,7 +48,7 @@ sums AS (
          coalesce(sum(us) FILTER (state = 'Office'), 0) AS office, coalesce(sum(us) FILTER (state = 'not_home'), 0) AS other,
          sum(us) AS held, coalesce(sum(us) FILTER (state IN ('not_home', 'unknown')), 0) AS other_or_lost
   FROM share GROUP BY ALL),
-frac AS (
+frac AS MATERIALIZED (
   SELECT g.household_id, g.subject, g.slot, coalesce(obs, 0) / {S}.0 AS coverage,
          CASE WHEN obs >= {S} * 0.5 THEN home / obs END AS home_frac,
          CASE WHEN obs >= {S} * 0.5 THEN office / obs END AS zone_office,
@@ -107,7 +107,7 @@ next_alarm AS (
 
 # One row per (subject, slot), blanked where nobody was watching.
 ORIGINS = """
-blank AS (
+blank AS MATERIALIZED (
   SELECT f.household_id, f.subject, f.slot, observable,
          CASE WHEN observable THEN coverage ELSE 0 END AS coverage,
          CASE WHEN observable THEN home_frac END AS home_frac,
@@ -115,7 +115,7 @@ blank AS (
          CASE WHEN observable AND f.subject <> 'house' THEN zone_office END AS z_office,
          CASE WHEN observable AND f.subject <> 'house' THEN zone_other END AS z_other
   FROM frac f JOIN seen USING (household_id, slot) JOIN held USING (household_id, subject, slot)),
-origins AS (
+origins AS MATERIALIZED (
   SELECT household_id, subject, slot, observable, coverage, home_frac, minutes_in_state,
          CASE WHEN subject = 'house' THEN max(z_office) OVER w ELSE z_office END AS zone_office,
          CASE WHEN subject = 'house' THEN max(z_other) OVER w ELSE z_other END AS zone_other,
@@ -138,7 +138,7 @@ HORIZONS = (1, 6, 24, 25, 48)
 
 TARGETS = """
 tg AS (SELECT household_id, subject, unnest(range(lo, hi + 97)) AS t FROM subjects CROSS JOIN bounds),
-wk AS (
+wk AS MATERIALIZED (
   SELECT g.household_id, g.subject, g.t,
          avg(b.home_frac) FILTER (s = 0 AND w <= 4) AS wclim4, avg(b.home_frac) FILTER (s = 0) AS wclim8,
          avg(b.home_frac) FILTER (s = 0 AND w <= 2) AS wclim2,
@@ -146,13 +146,13 @@ wk AS (
   FROM tg g CROSS JOIN range(1, 9) w(w) CROSS JOIN (VALUES (-2), (0), (2)) s(s)
   LEFT JOIN blank b ON b.household_id = g.household_id AND b.subject = g.subject AND b.slot = g.t + s - 336 * w
   GROUP BY ALL),
-dy AS (
+dy AS MATERIALIZED (
   SELECT g.household_id, g.subject, g.t,
          avg(b.home_frac) FILTER (k <= 14) AS sclim_1, avg(b.home_frac) FILTER (k BETWEEN 2 AND 14) AS sclim_2, max(b.home_frac) FILTER (k = 1) AS lag1d, max(b.home_frac) FILTER (k = 2) AS lag2d, max(b.home_frac) FILTER (k = 3) AS lag3d, max(b.home_frac) FILTER (k = 7) AS lag7d, max(b.home_frac) FILTER (k = 14) AS lag14d, max(b.home_frac) FILTER (k = 21) AS lag21d
   FROM tg g CROSS JOIN (SELECT unnest(range(1, 15)) AS k UNION ALL SELECT 21) k
   LEFT JOIN blank b ON b.household_id = g.household_id AND b.subject = g.subject AND b.slot = g.t - 48 * k
   GROUP BY ALL),
-smp AS (
+smp AS MATERIALIZED (
   SELECT o.household_id, o.subject, o.slot, h AS horizon_h, o.slot + 2 * h AS t, y.home_frac AS y,
          o.home_frac AS state_now, o.coverage,
          CASE WHEN h <= 24 THEN lag1d END AS lag1d, lag2d, lag3d, lag7d, lag14d, lag21d,

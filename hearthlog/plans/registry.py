@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hearthlog.plans import features, grid
+from hearthlog.plans import evaluate, features, grid
 
-MODULES = (grid, features)
+MODULES = (grid, features, evaluate)
 
 
 def queries():

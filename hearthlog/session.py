@@ -16,6 +16,9 @@ TUNING = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # A summary row per busy slot grows into every silent slot after it, so small
+    # shuffles must keep their parallelism.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
 }
 
 
