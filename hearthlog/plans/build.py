@@ -77,3 +77,12 @@ def origins(ev: DataFrame, extra_slots: int = 0, tz: str = "UTC") -> DataFrame:
     out = g.with_house_zones(out, ZONES)
     local = clock.localise(clock.slot_start(F.col("slot")), tz)
     return out.withColumns(clock.calendar(local)).withColumn("state_now", F.col("home_frac"))
+
+
+def day_slots(ev: DataFrame) -> DataFrame:
+    """Presence and the ticked zone per slot: what days are labelled from."""
+    out = g.integrate(presence_signals(ev), subjects(ev), [g.presence(
+        {"home_frac": g.equals("home"), "zone_office": g.equals("Office")}, duration=False)])
+    out = out.withColumn("zone_office", F.when(F.col("subject") != HOUSE, F.col("zone_office")))
+    out = g.blanked(out, g.live_spans(ev), ["home_frac", "zone_office"])
+    return g.with_house_zones(out, ["zone_office"]).select(*SID, "slot", "home_frac", "zone_office")

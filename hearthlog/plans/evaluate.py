@@ -11,7 +11,8 @@ from hearthlog.operators import ladder
 from hearthlog.plans import build
 from hearthlog.plans.features import samples
 from hearthlog.plans.grid import rnd, rounded
-from hearthlog.plans.oracle import ALL_ORIGINS, S, SAMPLES, sql
+from hearthlog.plans.oracle import ALL_ORIGINS, HORIZONS, S, SAMPLES, sql
+from hearthlog.session import written
 from hearthlog.schema import SHRINK_GRID
 
 QUERIES, ORACLE = {}, {}
@@ -84,14 +85,23 @@ fold_scores AS (
 
 
 def rows(spark, sf_dir):
-    """Labelled samples of five horizons, with the folds of their household."""
+    """Labelled samples of five horizons, with the folds of their household.
+
+    The ladder reads them four times, so slots and samples are written tables.
+    """
     ev = build.events(spark, sf_dir)
-    long = f.usable_rows(samples(ev))
+    slots = written(build.slots(ev, f.AHEAD_SLOTS).select(
+        "household_id", "subject", "slot", "home_frac", "coverage", "in_grid"), "slots")
+    long = f.usable_rows(f.samples(slots, HORIZONS))
     target = F.col("target_slot")
-    long = (long.withColumn("sod", (target % 48).cast("int"))
-            .withColumn("dow", ((F.call_function("div", target, F.lit(48)) + 3) % 7).cast("int"))
-            .withColumn("at_us", F.col("slot") * S))
-    return ladder.labelled(long, e.fold_lists(folds(ev)))
+    long = long.select(
+        "household_id", "subject", "slot", "horizon_h", "target_slot", "y", "state_now", "near_lag",
+        (target % 48).cast("int").alias("sod"),
+        ((F.call_function("div", target, F.lit(48)) + 3) % 7).cast("int").alias("dow"),
+        (F.col("slot") * S).alias("at_us"))
+    origins = slots.where("in_grid").select("household_id", "subject", (F.col("slot") * S).alias("at_us"))
+    cut = e.calendar_folds(origins, e.fold_geometry(origins), F.lit(97 * S))
+    return written(ladder.labelled(long, e.fold_lists(cut)), "samples")
 
 
 def folds(ev):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hearthlog.plans import evaluate, features, grid
+from hearthlog.plans import days, evaluate, features, grid
 
-MODULES = (grid, features, evaluate)
+MODULES = (grid, features, evaluate, days)
 
 
 def queries():

@@ -19,6 +19,8 @@ TUNING = {
     # A summary row per busy slot grows into every silent slot after it, so small
     # shuffles must keep their parallelism.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
+    # The JVM does not compile methods above 8000 bytes; smaller stages run faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
