@@ -402,10 +402,10 @@ def p12_clamps(spark, sf_dir):
     return ev.select("seq", st.clamp_days(asked).alias("days"), st.clamp(F.col("reading") / 50, 0.01, 0.99).alias("cut"))
 
 
-@query("p13_safe_numbers", "SELECT event_id AS seq, CASE WHEN event_type NOT IN ('error', 'view') THEN round_even(value / 8, 4) END AS safe FROM events")
+@query("p13_safe_numbers", "SELECT event_id AS seq, CASE WHEN event_type NOT IN ('error', 'view') THEN round_even(value / 7, 4) END AS safe FROM events")
 def p13_safe_numbers(spark, sf_dir):
     ev = build.events(spark, sf_dir)
-    odd = F.when(F.col("event_type") == "error", float("nan")).when(F.col("event_type") == "view", float("inf")).otherwise(F.col("reading") / 8)
+    odd = F.when(F.col("event_type") == "error", float("nan")).when(F.col("event_type") == "view", float("inf")).otherwise(F.col("reading") / 7)
     return ev.select("seq", st.safe_number(odd).alias("safe"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hearthlog.plans import days, evaluate, features, grid, log
+from hearthlog.plans import days, evaluate, features, grid, log, serve
 
-MODULES = (log, grid, features, evaluate, days)
+MODULES = (log, grid, features, evaluate, days, serve)
 
 
 def queries():
