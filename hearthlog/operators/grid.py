@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from hearthlog.functions.clock import slot_of, slot_start
 from hearthlog.functions.states import is_empty, is_home, norm, real
-from hearthlog.operators.chunks import (after, before, chunk_carry, in_chunk, upto, with_previous,
-                                        with_slot)
+from hearthlog.operators.chunks import before, chunk_carry, upto, with_previous, with_slot
 from hearthlog.operators.shifts import at_offset
 from hearthlog.schema import (AWAY_FROM, HOME, HOUSE, MAX_SILENCE_H, MIN_SLOT_COVERAGE, NOT_HOME,
                               OTHER_ZONE, SID, SLOT_US, TOWARDS, UNKNOWN)
@@ -171,8 +170,15 @@ def integrate(signals: DataFrame, subjects: DataFrame, parts: Sequence,
     sums: dict[str, Column] = {}
     for part in parts:
         sums.update(part.summaries())
-    chunks = (marked.groupBy(*keys, "slot").agg(*[c.alias(n) for n, c in sums.items()])
-              .withColumn("_own", F.lit(True)))
+    return fill(marked.groupBy(*keys, "slot").agg(*[c.alias(n) for n, c in sums.items()]),
+                subjects, parts, keys, extra_slots)
+
+
+def fill(chunks: DataFrame, subjects: DataFrame, parts: Sequence, keys: Sequence[str] = SID,
+         extra_slots: int = 0) -> DataFrame:
+    """Chunk summaries as a dense grid: what was held is carried into silent slots."""
+    keys = list(keys)
+    chunks = chunks.withColumn("_own", F.lit(True))
     # One empty row just before the grid, so a subject is there from its first slot.
     opening = subjects.select(*keys, (F.col("start_slot") - 1).alias("slot"),
                               "start_slot", "stop_slot", F.lit(False).alias("_own"))
