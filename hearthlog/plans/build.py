@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlog.functions import clock
 from hearthlog.operators import grid as g
 from hearthlog.schema import HOUSE, SID
+from hearthlog.session import written
 from hearthlog.sources import driver
 
 ZONES = ("zone_office", "zone_other")
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A phase written once per application and read by every query after it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = written(make(), name)
+    return _TABLES[key]
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return driver.events(spark, sf_dir)

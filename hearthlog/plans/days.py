@@ -71,8 +71,11 @@ DATE = "CAST(date - DATE '1970-01-01' AS BIGINT) AS day"
 
 
 def labelled(spark, sf_dir):
-    grid = d.day_grid(build.day_slots(build.events(spark, sf_dir)), zones=["zone_office"])
-    return d.label_days(grid)
+    return build.table(spark, sf_dir, "days", lambda: label(spark, sf_dir))
+
+
+def label(spark, sf_dir):
+    return d.label_days(d.day_grid(build.day_slots(build.events(spark, sf_dir)), zones=["zone_office"]))
 
 
 def day(df):
@@ -113,7 +116,7 @@ LABELS = ["observed_slots", "candidate", "left_today", "departure_hour", "return
 
 @query("d3_label_days", sql(DAY_SQL, f"SELECT household_id, subject, {DATE}, dow, {', '.join(LABELS)} FROM days"))
 def d3_label_days(spark, sf_dir):
-    return day(labelled(spark, sf_dir)).select(*SID, "day", "dow", *LABELS)
+    return day(label(spark, sf_dir)).select(*SID, "day", "dow", *LABELS)
 
 
 @query("d2_longest_gap", sql(DAY_SQL, f"SELECT household_id, subject, {DATE}, gap FROM lab"))

@@ -12,7 +12,6 @@ from hearthlog.plans import build
 from hearthlog.plans.features import samples
 from hearthlog.plans.grid import rnd, rounded
 from hearthlog.plans.oracle import ALL_ORIGINS, HORIZONS, S, SAMPLES, sql
-from hearthlog.session import written
 from hearthlog.schema import SHRINK_GRID
 
 QUERIES, ORACLE = {}, {}
@@ -89,9 +88,25 @@ def rows(spark, sf_dir):
 
     The ladder reads them four times, so slots and samples are written tables.
     """
-    ev = build.events(spark, sf_dir)
-    slots = written(build.slots(ev, f.AHEAD_SLOTS).select(
-        "household_id", "subject", "slot", "home_frac", "coverage", "in_grid"), "slots")
+    return build.table(spark, sf_dir, "samples", lambda: _rows(spark, sf_dir))
+
+
+def known_slots(spark, sf_dir):
+    return build.table(spark, sf_dir, "slots", lambda: build.slots(build.events(spark, sf_dir), f.AHEAD_SLOTS).select(
+        "household_id", "subject", "slot", "home_frac", "coverage", "in_grid"))
+
+
+def scores(spark, sf_dir):
+    """Fold scores of the six rungs."""
+    return build.table(spark, sf_dir, "scores", lambda: ladder.rung_scores(rows(spark, sf_dir)))
+
+
+def predicted(spark, sf_dir):
+    return build.table(spark, sf_dir, "predictions", lambda: ladder.predictions(rows(spark, sf_dir)))
+
+
+def _rows(spark, sf_dir):
+    slots = known_slots(spark, sf_dir)
     long = f.usable_rows(f.samples(slots, HORIZONS))
     target = F.col("target_slot")
     long = long.select(
@@ -101,7 +116,7 @@ def rows(spark, sf_dir):
         (F.col("slot") * S).alias("at_us"))
     origins = slots.where("in_grid").select("household_id", "subject", (F.col("slot") * S).alias("at_us"))
     cut = e.calendar_folds(origins, e.fold_geometry(origins), F.lit(97 * S))
-    return written(ladder.labelled(long, e.fold_lists(cut)), "samples")
+    return ladder.labelled(long, e.fold_lists(cut))
 
 
 def folds(ev):
@@ -142,7 +157,7 @@ def _rung(key, rung):
 SELECT household_id, horizon_h, fold, count(*) AS n, round(avg(pow(least(greatest({RUNG_COLUMN[rung]}, 1e-6), 1 - 1e-6) - label, 2)), 6) AS brier,
        round(sum({RUNG_COLUMN[rung]} * (slot % 1009)), 3) AS dot_p FROM preds WHERE {RUNG_COLUMN[rung]} IS NOT NULL GROUP BY ALL"""))
     def run(spark, sf_dir):
-        out = ladder.predictions(rows(spark, sf_dir)).withColumn("p", F.col(f"p_{rung}")).where("p is not null")
+        out = predicted(spark, sf_dir).withColumn("p", F.col(f"p_{rung}")).where("p is not null")
         q = sc.clip_p(F.col("p"))
         return out.groupBy("household_id", "horizon_h", "fold").agg(
             F.count("*").alias("n"), rnd(F.avg((q - F.col("label")) * (q - F.col("label")))).alias("brier"),
@@ -187,7 +202,7 @@ def b10_ladder(spark, sf_dir):
   CAST(sum(n) AS BIGINT) AS n, count(*) AS n_folds, round(min(brier), 6) AS brier_fold_min, round(max(brier), 6) AS brier_fold_max
 FROM fold_scores GROUP BY ALL"""))
 def e8_summarize(spark, sf_dir):
-    out = e.summarize(ladder.rung_scores(rows(spark, sf_dir)), ["household_id", "horizon_h", "rung"]).drop("per_fold")
+    out = e.summarize(scores(spark, sf_dir), ["household_id", "horizon_h", "rung"]).drop("per_fold")
     return rounded(out, *SCORE_COLS, "brier_fold_min", "brier_fold_max")
 
 
@@ -196,7 +211,7 @@ SELECT household_id, horizon_h, round(100 * (1 - b2 / b1), 6) AS skill_pct FROM
   SELECT household_id, horizon_h, avg(pow(least(greatest(p2, 1e-6), 1 - 1e-6) - label, 2)) AS b2,
          avg(pow(least(greatest(p1, 1e-6), 1 - 1e-6) - label, 2)) AS b1 FROM preds GROUP BY ALL) WHERE b1 > 0"""))
 def e9_skill(spark, sf_dir):
-    p = ladder.predictions(rows(spark, sf_dir))
+    p = predicted(spark, sf_dir)
     y = F.col("label")
     sq = lambda c: F.avg((sc.clip_p(F.col(c)) - y) * (sc.clip_p(F.col(c)) - y))
     out = p.groupBy("household_id", "horizon_h").agg(sq("p_persistence").alias("b2"), sq("p_base_rate").alias("b1"))
@@ -208,7 +223,7 @@ ps AS (SELECT household_id, horizon_h, y, label, p2 AS p, least(greatest(p2, 1e-
 
 
 def persistence(spark, sf_dir):
-    return ladder.predictions(rows(spark, sf_dir)).select("household_id", "horizon_h", "y", F.col("p_persistence").alias("p"))
+    return predicted(spark, sf_dir).select("household_id", "horizon_h", "y", F.col("p_persistence").alias("p"))
 
 
 @query("e1_score", sql(LADDER + [PERSIST], """
@@ -292,9 +307,9 @@ FROM pool p JOIN b USING (household_id, horizon_h) JOIN won USING (household_id,
 def e13_candidate_verdict(spark, sf_dir):
     """Persistence stands as the candidate; the other five rungs are the bar."""
     from hearthlog.operators import gate
-    scores = ladder.rung_scores(rows(spark, sf_dir))
-    mine = scores.where("rung = 'persistence'").drop("rung").withColumn("kind", F.lit("persistence"))
-    out = gate.verdicts(mine, scores.where("rung <> 'persistence'"))
+    scored = scores(spark, sf_dir)
+    mine = scored.where("rung = 'persistence'").drop("rung").withColumn("kind", F.lit("persistence"))
+    out = gate.verdicts(mine, scored.where("rung <> 'persistence'"))
     return rounded(out, "brier", "best_brier").select(
         "household_id", "horizon_h", "best_rung", "trials", "beat", "brier", "best_brier", "ships")
 
@@ -310,7 +325,7 @@ SELECT a.household_id, a.horizon_h, CASE WHEN a.ships THEN a.rung END AS kind, r
 FROM r a LEFT JOIN r b ON b.household_id = a.household_id AND b.horizon_h = a.horizon_h AND b.place = 2 WHERE a.place = 1"""))
 def e14_choose(spark, sf_dir):
     from hearthlog.operators import gate
-    pooled = e.summarize(ladder.rung_scores(rows(spark, sf_dir)), ["household_id", "horizon_h", "rung"])
+    pooled = e.summarize(scores(spark, sf_dir), ["household_id", "horizon_h", "rung"])
     bar = F.max(F.when(F.col("rung") == "base_rate", F.col("brier"))).over(
         gate.Window.partitionBy("household_id", "horizon_h"))
     runners = (pooled.withColumn("bar", bar).where("rung in ('persistence', 'same_slot_yesterday')")

@@ -147,10 +147,15 @@ cv AS MATERIALIZED (
 V = ALL_ORIGINS + [TARGETS, SERVE]
 
 
+def served_targets(spark, sf_dir):
+    return build.table(spark, sf_dir, "targets", lambda: f.target_slots(
+        build.slots(build.events(spark, sf_dir), f.AHEAD_SLOTS)).select(
+        *SID, "slot", "in_grid", "home_frac", "minutes_in_state", "sclim_from_1", "sclim_from_2"))
+
+
 def current_and_curve(spark, sf_dir):
     """The newest rows, and the recent same-slot mean as their forecast."""
-    slots = build.slots(build.events(spark, sf_dir), f.AHEAD_SLOTS)
-    targets = written(f.target_slots(slots).select(*SID, "slot", "in_grid", "home_frac", "minutes_in_state", "sclim_from_1", "sclim_from_2"), "targets")
+    targets = served_targets(spark, sf_dir)
     now = v.current_rows(targets.select(*SID, "slot", "in_grid", "home_frac", "minutes_in_state"))
     asked = (now.select(*SID, "slot", F.explode(F.sequence(F.lit(1), F.lit(48))).alias("horizon_h"))
              .withColumn("slot", F.col("slot") + F.col("horizon_h") * 2))
@@ -325,7 +330,7 @@ def j9_forecast_truth(spark, sf_dir):
 # --- gate tables --------------------------------------------------------------------
 
 def all_verdicts(spark, sf_dir):
-    scores = written(ladder.rung_scores(pe.rows(spark, sf_dir)), "scores")
+    scores = pe.scores(spark, sf_dir)
     mine = scores.where("rung in ('persistence', 'same_slot_yesterday')").withColumnRenamed("rung", "kind")
     bars = scores.where("rung not in ('persistence', 'same_slot_yesterday')")
     return gate.verdicts(mine, bars)
@@ -359,7 +364,7 @@ def x9_serving_status(spark, sf_dir):
 @query("e13_brier_by_subject", sql(pe.LADDER, """
 SELECT household_id, horizon_h, subject, round(avg(pow(p2 - y, 2)), 6) AS brier FROM preds GROUP BY ALL"""))
 def e13_brier_by_subject(spark, sf_dir):
-    p = ladder.predictions(pe.rows(spark, sf_dir)).withColumn("p", F.col("p_persistence"))
+    p = pe.predicted(spark, sf_dir).withColumn("p", F.col("p_persistence"))
     sq = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
     return p.groupBy("household_id", "horizon_h", "subject").agg(rnd(F.avg(sq)).alias("brier"))
 
@@ -406,17 +411,16 @@ pc AS MATERIALIZED (SELECT u.household_id, f.fold, u.subject, CAST((u.slot // 48
        FROM (SELECT DISTINCT household_id, subject, slot, home_frac AS state_now FROM blank WHERE home_frac IS NOT NULL) u
        JOIN folds f ON f.household_id = u.household_id AND u.slot < f.start GROUP BY ALL),
 psl AS MATERIALIZED (SELECT household_id, fold, subject, dow, sod, CASE WHEN n >= 2 THEN clim - lag(clim, 2) OVER (PARTITION BY household_id, fold, subject, dow ORDER BY sod) END AS slope FROM pc),
-cut AS (SELECT household_id, fold, quantile_cont(abs(slope), 0.9) AS cut FROM psl WHERE slope IS NOT NULL GROUP BY ALL),
+pcut AS (SELECT household_id, fold, quantile_cont(abs(slope), 0.9) AS cut FROM psl WHERE slope IS NOT NULL GROUP BY ALL),
 mk AS (SELECT p.*, CASE WHEN coalesce(abs(slope) >= cut - 1e-12, false) THEN 'transition' ELSE 'flat' END AS stratum, CAST((p.slot + 2 * p.horizon_h) % 48 AS INT) AS sod2
-       FROM preds p JOIN cut USING (household_id, fold) LEFT JOIN psl s ON s.household_id = p.household_id AND s.fold = p.fold AND s.subject = p.subject
+       FROM preds p JOIN pcut USING (household_id, fold) LEFT JOIN psl s ON s.household_id = p.household_id AND s.fold = p.fold AND s.subject = p.subject
          AND s.dow = CAST(((p.slot + 2 * p.horizon_h) // 48 + 3) % 7 AS INT) AND s.sod = CAST((p.slot + 2 * p.horizon_h) % 48 AS INT))"""
 
 
 def probe_cells(spark, sf_dir):
     """Cells of the slots before each fold of the household."""
-    ev = build.events(spark, sf_dir)
-    slots = written(build.slots(ev).select(*SID, "slot", "home_frac").where("home_frac is not null"), "known")
-    lists = e.fold_lists(pe.folds(ev))
+    slots = pe.known_slots(spark, sf_dir).where("in_grid and home_frac is not null").select(*SID, "slot", "home_frac")
+    lists = e.fold_lists(pe.folds(build.events(spark, sf_dir)))
     placed = (slots.join(lists, "household_id").withColumn("_f", F.explode("folds")).where(F.col("slot") * S < F.col("_f.start_us"))
               .select(*SID, "slot", F.col("home_frac").alias("state_now"), F.col("_f.fold").alias("fold")))
     day = F.call_function("div", F.col("slot"), F.lit(48))
@@ -428,9 +432,9 @@ def q1_cells(spark, sf_dir):
     return rounded(probe_cells(spark, sf_dir), "clim")
 
 
-@query("q2_slopes")
+@query("q2_slopes", sql(pe.SAMPLES + [pe.FOLDS, PROBE.split("pcut AS")[0].rstrip().rstrip(",")], "SELECT household_id, fold, subject, dow, sod, round(slope, 6) AS slope FROM psl"))
 def q2_slopes(spark, sf_dir):
-    return probe.slopes(probe_cells(spark, sf_dir))
+    return rounded(probe.slopes(probe_cells(spark, sf_dir), min_n=2), "slope")
 
 
 @query("q3_target_cell", sql(SAMPLES, "SELECT household_id, horizon_h, dow, sod, count(*) AS n FROM smp GROUP BY ALL"))
@@ -447,8 +451,7 @@ def q4_anchors(spark, sf_dir):
 
 
 def anchor_curves(spark, sf_dir, p="wclim"):
-    slots = build.slots(build.events(spark, sf_dir), f.AHEAD_SLOTS)
-    targets = written(f.target_slots(slots).select(*SID, "slot", "in_grid", "home_frac", "sclim_from_2"), "anchor-targets")
+    targets = served_targets(spark, sf_dir).select(*SID, "slot", "in_grid", "home_frac", "sclim_from_2")
     at = probe.anchors(targets.where("in_grid").select(*SID, "slot", "home_frac"), clock.localise(clock.slot_start(F.col("slot")), "UTC"))
     ahead = at.where("home_frac is not null").select(*SID, F.col("slot").alias("origin"), F.col("home_frac").alias("state_now"), F.explode(F.sequence(F.lit(1), F.lit(48))).alias("horizon_h"))
     joined = ahead.withColumn("slot", F.col("origin") + F.col("horizon_h") * 2).join(targets.drop("in_grid"), [*SID, "slot"])
@@ -469,12 +472,14 @@ def q5_departure_errors(spark, sf_dir):
 
 
 def marked(spark, sf_dir, p):
-    rows = ladder.predictions(pe.rows(spark, sf_dir)).select("household_id", "fold", "subject", "dow", "sod", "y", F.col(p).alias("p"))
-    slope = written(probe.slopes(probe_cells(spark, sf_dir)), "slopes")
+    rows = pe.predicted(spark, sf_dir).select("household_id", "fold", "subject", "dow", "sod", "y", F.col(p).alias("p"))
+    slope = build.table(spark, sf_dir, "slopes", lambda: probe.slopes(probe_cells(spark, sf_dir), min_n=2))
     return probe.strata(rows.where("p is not null"), slope)
 
 
-@query("q6_stratified_brier")
+@query("q6_stratified_brier", sql(pe.LADDER + [PROBE], """
+SELECT household_id, fold, stratum, count(*) AS n, round(avg(pow(least(greatest(p4, 1e-6), 1 - 1e-6) - label, 2)), 6) AS brier,
+       round(avg(label), 6) AS base_rate, round(avg(label) * (1 - avg(label)), 6) AS spread FROM mk WHERE p4 IS NOT NULL GROUP BY ALL"""))
 def q6_stratified_brier(spark, sf_dir):
     return rounded(probe.stratified_brier(marked(spark, sf_dir, "p_slot_climatology")), "brier", "base_rate", "spread")
 
