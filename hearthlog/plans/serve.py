@@ -410,9 +410,9 @@ PROBE = """
 pc AS MATERIALIZED (SELECT u.household_id, f.fold, u.subject, CAST((u.slot // 48 + 3) % 7 AS INT) AS dow, CAST(u.slot % 48 AS INT) AS sod, avg(CAST(state_now >= 0.5 AS DOUBLE)) AS clim, count(*) AS n
        FROM (SELECT DISTINCT household_id, subject, slot, home_frac AS state_now FROM blank WHERE home_frac IS NOT NULL) u
        JOIN folds f ON f.household_id = u.household_id AND u.slot < f.start GROUP BY ALL),
-psl AS MATERIALIZED (SELECT household_id, fold, subject, dow, sod, CASE WHEN n >= 2 THEN clim - lag(clim, 2) OVER (PARTITION BY household_id, fold, subject, dow ORDER BY sod) END AS slope FROM pc),
+psl AS MATERIALIZED (SELECT household_id, fold, subject, dow, sod, round(CASE WHEN n >= 2 THEN clim - lag(clim, 2) OVER (PARTITION BY household_id, fold, subject, dow ORDER BY sod) END, 9) AS slope FROM pc),
 pcut AS (SELECT household_id, fold, quantile_cont(abs(slope), 0.9) AS cut FROM psl WHERE slope IS NOT NULL GROUP BY ALL),
-mk AS (SELECT p.*, CASE WHEN coalesce(abs(slope) >= cut - 1e-12, false) THEN 'transition' ELSE 'flat' END AS stratum, CAST((p.slot + 2 * p.horizon_h) % 48 AS INT) AS sod2
+mk AS (SELECT p.*, CASE WHEN coalesce(abs(slope) >= cut, false) THEN 'transition' ELSE 'flat' END AS stratum, CAST((p.slot + 2 * p.horizon_h) % 48 AS INT) AS sod2
        FROM preds p JOIN pcut USING (household_id, fold) LEFT JOIN psl s ON s.household_id = p.household_id AND s.fold = p.fold AND s.subject = p.subject
          AND s.dow = CAST(((p.slot + 2 * p.horizon_h) // 48 + 3) % 7 AS INT) AND s.sod = CAST((p.slot + 2 * p.horizon_h) % 48 AS INT))"""
 
@@ -432,9 +432,15 @@ def q1_cells(spark, sf_dir):
     return rounded(probe_cells(spark, sf_dir), "clim")
 
 
+def slopes(spark, sf_dir):
+    """A month holds few of each weekday, so two observations make a cell."""
+    return build.table(spark, sf_dir, "slopes", lambda: rounded(
+        probe.slopes(probe_cells(spark, sf_dir), min_n=2), "slope", digits=9))
+
+
 @query("q2_slopes", sql(pe.SAMPLES + [pe.FOLDS, PROBE.split("pcut AS")[0].rstrip().rstrip(",")], "SELECT household_id, fold, subject, dow, sod, round(slope, 6) AS slope FROM psl"))
 def q2_slopes(spark, sf_dir):
-    return rounded(probe.slopes(probe_cells(spark, sf_dir), min_n=2), "slope")
+    return rounded(slopes(spark, sf_dir), "slope")
 
 
 @query("q3_target_cell", sql(SAMPLES, "SELECT household_id, horizon_h, dow, sod, count(*) AS n FROM smp GROUP BY ALL"))
@@ -473,7 +479,7 @@ def q5_departure_errors(spark, sf_dir):
 
 def marked(spark, sf_dir, p):
     rows = pe.predicted(spark, sf_dir).select("household_id", "fold", "subject", "dow", "sod", "y", F.col(p).alias("p"))
-    slope = build.table(spark, sf_dir, "slopes", lambda: probe.slopes(probe_cells(spark, sf_dir), min_n=2))
+    slope = slopes(spark, sf_dir)
     return probe.strata(rows.where("p is not null"), slope)
 
 
