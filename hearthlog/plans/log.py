@@ -77,7 +77,6 @@ def s5_annotated_csv(spark, sf_dir):
     """The log exported as annotated CSV, with headers repeated, and read back."""
     path = session.new_folder(spark, "csv")
     ev = build.events(spark, sf_dir)
-    line = F.concat_ws(",", F.lit(""), F.lit("_result"), "seq", "ts_us", driver.person_events(ev)["value"])
     lines = driver.person_events(ev).select(
         F.concat_ws(",", F.lit(""), F.lit("_result"), "seq", "ts_us", "value").alias("value"), "seq")
     lines = lines.select(F.explode(F.when(F.col("seq") % 50 == 0, F.array(
