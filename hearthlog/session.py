@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -43,25 +45,37 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
     return tune(spark)
 
 
+# The folder of a one-machine session that names none, removed when it ends.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where tables between phases go: the cluster's own checkpoint folder.
 
-    A temporary folder is used only by a local session that names none.
+    A folder of its own is used only by a session on one machine that names none.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="hearthlog-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = folder = tempfile.mkdtemp(prefix="hearthlog-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _OWN[context.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this session's own making, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: lineage is cut, and a lost executor
     costs a re-read rather than a recomputation."""
