@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hearthlog.llm import exact, pii
+from hearthlog.llm import exact, lines, mixing, packing, pii, quality, wordpiece
 
-MODULES = (pii, exact)
+MODULES = (pii, wordpiece, exact, quality, lines, packing, mixing)
 
 
 def queries():
