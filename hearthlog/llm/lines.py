@@ -30,38 +30,42 @@ def boundaries(lines: Column) -> Column:
     return F.filter(ends, lambda i: i.isNotNull())
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """KEY, the whole row as `_row`, and `_chunks`: (n, body) of each chunk in order.
-
-    A document is known by its doc_id and a hash of its text, so rows equal in both
-    are one document, whose copies are all treated alike.
-    """
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """KEY and what else is asked for: a document is known by its doc_id and a hash of
+    its text, so rows equal in both are one document, whose copies are treated alike."""
     least = F.lit(-2 ** 63).cast("long")
-    rows = docs.select(F.coalesce("doc_id", least).alias("_id"), F.xxhash64("text").alias("_text"), F.struct("*").alias("_row"))
-    split = once(F.split(F.coalesce("_row.text", F.lit("")), "\n", -1), "_lines", *KEY, "_row", source=rows)
-    ended = once(boundaries(F.col("_lines")), "_ends", *KEY, "_row", "_lines", source=split)
+    return docs.select(F.coalesce("doc_id", least).alias("_id"), F.xxhash64("text").alias("_text"), *more)
+
+
+def chunked(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The columns `keep` and `_chunks`: (n, body) of each chunk in order."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    split = once(lines, "_lines", *keep, source=rows)
+    ended = once(boundaries(F.col("_lines")), "_ends", *keep, "_lines", source=split)
     starts = F.concat(F.array(F.lit(0)), F.transform("_ends", lambda end: end + 1))
     body = F.zip_with(F.slice(starts, F.lit(1), F.size("_ends")), "_ends", lambda start, end: F.struct(
         (end - start + 1).alias("n"),
         F.array_join(F.slice("_lines", start + 1, end - start + 1), "\n").alias("body")))
-    return once(body, "_chunks", *KEY, "_row", source=ended)
+    return once(body, "_chunks", *keep, source=ended)
 
 
 def repeated(docs: DataFrame, store: Store) -> DataFrame:
     """KEY and `removed`: which chunks of a document occur earlier. Documents come by
     doc_id, null first, then by the hash of their text."""
-    chunks = chunked(docs)
-    several = chunks.select(*KEY, F.posexplode("_chunks").alias("at", "chunk")).where(
+    rows = keyed(docs, F.col("text").alias("_body"))
+    several = chunked(rows, "_body", *KEY).select(*KEY, F.posexplode("_chunks").alias("at", "chunk")).where(
         (F.col("chunk.n") >= MIN_LINES) & F.col("chunk.body").rlike(r"[^\x20\x09-\x0D]"))
     hashes = store.put(several.select(*KEY, "at", F.xxhash64("chunk.body").alias("h")), "chunk-hashes")
     again = hashes.groupBy("h").count().where("count > 1").select("h")
     suspects = hashes.join(again, "h", "left_semi").groupBy(*KEY).agg(F.collect_set("at").alias("ats"))
-    # Only suspects' bytes are moved, and compared: they are grouped by themselves.
-    bodies = chunks.join(suspects, KEY).select(*KEY, F.explode("ats").alias("at"), "_chunks").select(
+    # Only suspects' bytes are compared: they are grouped by themselves. Texts are cut
+    # after the join, so they are moved once, and always by merging.
+    found = chunked(rows.join(suspects.hint("merge"), KEY), "_body", *KEY, "ats")
+    bodies = found.select(*KEY, F.explode("ats").alias("at"), "_chunks").select(
         *KEY, "at", F.get("_chunks", F.col("at"))["body"].alias("body"))
     bodies = store.put(bodies.withColumn("h", F.xxhash64("body")).distinct(), "chunk-bodies")
     first = bodies.groupBy("h", "body").agg(F.min(F.struct(*KEY, "at")).alias("first"))
-    later = bodies.join(first, ["h", "body"]).where(F.struct(*KEY, "at") > F.col("first"))
+    later = bodies.join(first.hint("merge"), ["h", "body"]).where(F.struct(*KEY, "at") > F.col("first"))
     return later.groupBy(*KEY).agg(F.collect_set("at").alias("removed"))
 
 
@@ -77,7 +81,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     store = Store(docs.sparkSession)
     flags = store.put(repeated(docs, store), "removed-chunks")
     none = F.array().cast("array<int>")
-    joined = chunked(docs).join(flags, KEY, "left").withColumn("removed", F.coalesce("removed", none))
+    joined = keyed(docs, F.struct("*").alias("_row")).join(flags.hint("merge"), KEY, "left")
+    joined = joined.select("_row", F.coalesce("removed", none).alias("removed"))
+    joined = chunked(joined, "_row.text", "_row", "removed")
     left = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "removed")
     joined = once(left, "_left", "_row", "_chunks", "removed", source=joined)
 
