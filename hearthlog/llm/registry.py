@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hearthlog.llm import exact, lines, mixing, packing, pii, quality, wordpiece
+from hearthlog.llm import exact, lines, mixing, packing, pii, quality, sharding, simhash, suffixes, wordpiece
 
-MODULES = (pii, wordpiece, exact, quality, lines, packing, mixing)
+MODULES = (pii, sharding, suffixes, wordpiece, exact, quality, lines, simhash, packing, mixing)
 
 
 def queries():
