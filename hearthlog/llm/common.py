@@ -41,6 +41,17 @@ class Store:
             removed(self.spark, self.paths.pop(id(df)))
 
 
+# A document is known by its doc_id and a hash of its text.
+KEY = ["_id", "_text"]
+
+
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """KEY and what else is asked for. Null doc_ids count as the smallest; rows equal
+    in both are one document, whose copies are treated alike."""
+    least = F.lit(-2 ** 63).cast("long")
+    return docs.select(F.coalesce("doc_id", least).alias("_id"), F.xxhash64("text").alias("_text"), *more)
+
+
 def once(column: Column, name: str, *keep: str, source: DataFrame) -> DataFrame:
     """`source` with `column` worked out once per row, however often it is read.
 

@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import Store, once, table
+from hearthlog.llm.common import KEY, Store, keyed, once, table
 
 WINDOW = 2          # lines the rolling hash looks at
 MEAN_LINES = 4      # one line in so many ends a chunk
 MIN_LINES = 2       # shorter chunks stay
-KEY = ["_id", "_text"]
 
 
 def boundaries(lines: Column) -> Column:
@@ -30,13 +29,6 @@ def boundaries(lines: Column) -> Column:
     return F.filter(ends, lambda i: i.isNotNull())
 
 
-def keyed(docs: DataFrame, *more: Column) -> DataFrame:
-    """KEY and what else is asked for: a document is known by its doc_id and a hash of
-    its text, so rows equal in both are one document, whose copies are treated alike."""
-    least = F.lit(-2 ** 63).cast("long")
-    return docs.select(F.coalesce("doc_id", least).alias("_id"), F.xxhash64("text").alias("_text"), *more)
-
-
 def chunked(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     """The columns `keep` and `_chunks`: (n, body) of each chunk in order."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)

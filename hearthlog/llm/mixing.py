@@ -138,7 +138,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(*key, F.xxhash64("text").alias("_text"), F.struct("*").alias("_row"))
     nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
     times = F.call_function("div", F.col("_times"), F.col("_rows")) + (nth <= F.col("_times") % F.col("_rows")).cast("long")
-    out = rows.join(taken, same).withColumn("_copies", times).where("_copies > 0")
+    out = rows.join(taken.hint("merge"), same).withColumn("_copies", times).where("_copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
 
 

@@ -52,14 +52,15 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id and fp of every row of `docs` (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, text_hash and fp of every row of `docs` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t or b"", words, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], schema=schema)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+            found = [fingerprint(t or b"", words, seed) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            columns = [batch.column(0), batch.column(1), pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp"])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def blocks(mask: int, n: int) -> list[int]:
@@ -163,7 +164,8 @@ def links(fps: DataFrame, store: Store, radius: int = RADIUS, agree: int = AGREE
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, agree: int = AGREE, group: int = GROUP) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, fp, component_id.
+    """One row per row of `docs` (doc_id, text): doc_id, text_hash, fp, component_id
+    and `root`, which names the component even where its doc_ids are null.
 
     Documents whose fingerprints differ in `radius` bits at most are linked; the
     component is the smallest doc_id reachable, itself included (null only if all are
@@ -177,8 +179,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, agree: int = AGREE, g
     roots = components(links(least.select("fp"), store, radius, agree, group), store)
     placed = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_fp = placed.join(lowest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = placed.join(lowest, "root").select("fp", "component_id", "root")
+    return marked.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def op8_simhash(spark, sf_dir):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import Store, table
+from hearthlog.llm.common import KEY, Store, keyed, table
 
 LENGTH = 100
 KMER = 32
@@ -37,8 +37,6 @@ SLICE = 4 << 20         # bytes of text worked on at once
 HOT = 64                # different blocks of one anchor, in a slice or in all
 ANCHOR_GROUP = 8 << 20   # bytes of block records in a group
 STRING_GROUP = 2 << 20    # bytes of blocks in a collection
-KEY = ["_id", "_text"]
-LEAST = -2 ** 63
 
 BLOCK = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u2")])
 RUN = np.dtype([("at", "<u4"), ("n", "<u4")])
@@ -375,8 +373,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, kept:
     spark = docs.sparkSession
     store = Store(spark)
     # Texts are bytes from here on, as are the hashes that tell documents apart.
-    docs = docs.select(F.coalesce("doc_id", F.lit(LEAST).cast("long")).alias("_id"), F.xxhash64("text").alias("_text"),
-                       F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    docs = keyed(docs, F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A block is about half of `length` - KMER strings.
     groups = 1 + int(size * 2 / (length - KMER) * BLOCK.itemsize / ANCHOR_GROUP)
