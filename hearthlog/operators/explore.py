@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlog.functions.states import real
-from hearthlog.operators.evaluate import score
-from hearthlog.schema import SID
+from hearthlog.functions.scores import clip_p
+from hearthlog.schema import HOME_THRESHOLD, HORIZONS_H, SID
 from hearthlog.sources.statelog import ENTITY, HEARTBEAT, inventory, value_counts
 
 MAX_EVENTS, MAX_POINTS = 2000, 4000
@@ -77,31 +77,27 @@ def feature_series(table: DataFrame, column: str, days: int = 30, max_points: in
             .select(*SID, "slot", F.col(column), (F.col("_n") > max_points).alias("thinned")))
 
 
-def verification(grid: DataFrame, forecasts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def occupied(home_frac: Column) -> Column:
+    return (home_frac >= HOME_THRESHOLD).cast("double")
+
+
+def verification(grid: DataFrame, forecasts: DataFrame, horizons: Sequence[int] = HORIZONS_H) -> tuple[DataFrame, DataFrame]:
     """What was forecast for each slot against what happened, and its score.
 
     `grid` holds the truth per (subject, slot); `forecasts` the latest p per
-    (subject, target slot, horizon).
+    (subject, target slot, horizon). Every slot of the grid has a point at every
+    horizon, p NULL where nothing was served; a horizon that nothing was ever served
+    at has `served` 0 and no score.
     """
-    points = (forecasts.select(*SID, F.col("target_slot").alias("slot"), "horizon_h", "p")
-              .join(grid.select(*SID, "slot", "home_frac"), [*SID, "slot"]))
-    served = points.groupBy(*SID, "horizon_h").agg(F.count("*").alias("served"))
-    slots = grid.groupBy(*SID).agg(F.count("*").alias("slots"))
-    scored = score(points, [*SID, "horizon_h"], "home_frac", "p", with_auc=False)
-    out = (served.join(slots, list(SID)).join(scored, [*SID, "horizon_h"], "left")
-           .withColumn("n", F.coalesce("n", F.lit(0))))
-    return points, out.withColumn("sentence", sentence(F.col("served"), F.col("slots"), F.col("n"), F.col("brier"), F.col("mae_frac")))
-
-
-def sentence(served: Column, slots: Column, scored: Column, brier: Column, mae: Column) -> Column:
-    """One line that leads with the holes rather than with the accuracy."""
-    share = F.format_string("%.0f%%", F.bround(100.0 * served / slots, 0))
-    head = F.when(served < slots, F.concat(F.lit("published for "), served, F.lit(" of "), slots, F.lit(" slots ("), share, F.lit(")"))) \
-        .otherwise(F.concat(F.lit("published for all "), slots, F.lit(" slots")))
-    return (F.when(served == 0, F.lit("nothing was published at this horizon"))
-            .when(scored == 0, F.concat(head, F.lit(", and none of them has an observation to score against yet")))
-            .otherwise(F.concat(head, F.lit("; over the "), scored, F.lit(" with an observation to compare, Brier "),
-                                F.format_string("%.3f", brier), F.lit(" and mean error "), F.format_string("%.3f", mae))))
+    long = grid.select(*SID, "slot", "home_frac", F.explode(F.lit(list(horizons))).alias("horizon_h"))
+    served = forecasts.select(*SID, F.col("target_slot").alias("slot"), "horizon_h", "p")
+    points = long.join(served, [*SID, "slot", "horizon_h"], "left")
+    right = F.col("home_frac").isNotNull() & F.col("p").isNotNull()
+    q, off = clip_p(F.col("p")) - occupied(F.col("home_frac")), F.abs(F.col("p") - F.col("home_frac"))
+    out = points.groupBy(*SID, "horizon_h").agg(
+        F.count("*").alias("slots"), F.count("p").alias("served"), F.count_if(right).alias("n"),
+        F.avg(F.when(right, q * q)).alias("brier"), F.avg(F.when(right, off)).alias("mae_frac"))
+    return points, out.withColumn("served_pct", 100.0 * F.col("served") / F.col("slots"))
 
 
 def runs(rows: DataFrame, keys: Sequence[str], position: str) -> DataFrame:

@@ -35,11 +35,10 @@ def grid_bounds(start_us: Column, stop_us: Column) -> tuple[Column, Column]:
 
 
 def spine(subjects: DataFrame, events: DataFrame) -> DataFrame:
-    """Subjects with the grid the whole log spans: `start_slot`, `stop_slot`."""
+    """Subjects with the grid their own household's log spans: `start_slot`, `stop_slot`."""
     first, last = grid_bounds(F.min("ts_us"), F.max("ts_us"))
-    return (subjects
-            .withColumn("start_slot", events.select(first.alias("x")).scalar())
-            .withColumn("stop_slot", events.select(last.alias("x")).scalar()))
+    spans = events.groupBy("household_id").agg(first.alias("start_slot"), last.alias("stop_slot"))
+    return subjects.join(spans, "household_id")
 
 
 def grid(subjects: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ def g13_zones_sum_to_one(spark, sf_dir):
 
 
 @query("g14_window_fraction", sql(PRESENCE + [f"""
-at_now AS (SELECT household_id, subject, hi * {S} AS at_us FROM subjects CROSS JOIN bounds),
+at_now AS (SELECT household_id, subject, hi * {S} AS at_us FROM subjects JOIN bounds USING (household_id)),
 w AS (SELECT i.household_id, i.subject, sum(least(b, at_us) - greatest(a, at_us - 300000000)) FILTER (state <> 'unknown') AS obs,
              coalesce(sum(least(b, at_us) - greatest(a, at_us - 300000000)) FILTER (state = 'home'), 0) AS home
       FROM iv i JOIN at_now USING (household_id, subject) WHERE a < at_us AND b > at_us - 300000000 GROUP BY ALL)"""], """

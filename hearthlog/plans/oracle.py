@@ -16,12 +16,11 @@ ev AS (
               WHEN event_type = 'purchase' THEN 'not_home' ELSE 'unknown' END AS state,
          CASE WHEN event_type = 'error' THEN NULL ELSE round_even(value * 100, 1) END AS metres
   FROM events),
-bounds AS (SELECT (min(ts_us) + {S - 1}) // {S} AS lo, max(ts_us) // {S} AS hi FROM ev),
+bounds AS (SELECT household_id, (min(ts_us) + {S - 1}) // {S} AS lo, max(ts_us) // {S} AS hi FROM ev GROUP BY ALL),
 people AS (SELECT DISTINCT household_id, subject FROM ev),
 subjects AS (SELECT * FROM people UNION ALL SELECT DISTINCT household_id, 'house' FROM people),
-slots AS (SELECT unnest(range(lo, hi + 1)) AS slot FROM bounds),
-grid AS (SELECT household_id, subject, slot FROM subjects CROSS JOIN slots),
-hgrid AS (SELECT household_id, slot FROM (SELECT DISTINCT household_id FROM people) CROSS JOIN slots)"""
+hgrid AS (SELECT household_id, unnest(range(lo, hi + 1)) AS slot FROM bounds),
+grid AS (SELECT household_id, subject, slot FROM subjects JOIN hgrid USING (household_id))"""
 
 HOUSE = """
 house_at AS (
@@ -39,7 +38,7 @@ pres AS (SELECT household_id, subject, ts_us, seq, state FROM ev
 FRACTIONS = f"""
 iv AS (SELECT household_id, subject, state, ts_us AS a,
               coalesce(lead(ts_us) OVER (PARTITION BY household_id, subject ORDER BY ts_us, seq), (hi + 1) * {S}) AS b
-       FROM pres CROSS JOIN bounds),
+       FROM pres JOIN bounds USING (household_id)),
 cut AS (SELECT household_id, subject, state, a, b, unnest(range(a // {S}, (b - 1) // {S} + 1)) AS slot FROM iv WHERE b > a),
 share AS (SELECT household_id, subject, slot, state, least(b, (slot + 1) * {S}) - greatest(a, slot * {S}) AS us FROM cut),
 sums AS (
@@ -72,29 +71,28 @@ seen AS (
   ASOF LEFT JOIN live n ON p.household_id = n.household_id AND p.slot * {S} < n.ts_us)"""
 
 PROXIMITY = f"""
-km AS (
+km AS MATERIALIZED (
   SELECT g.household_id, g.subject, g.slot, d.metres / 1000 AS distance_km
   FROM grid g ASOF LEFT JOIN (SELECT * FROM ev WHERE metres IS NOT NULL) d
     ON g.household_id = d.household_id AND g.subject = d.subject AND g.slot * {S} >= d.ts_us),
 way_iv AS (SELECT household_id, subject, ts_us AS a,
                   CASE event_type WHEN 'view' THEN 'towards' WHEN 'purchase' THEN 'away_from' WHEN 'error' THEN NULL ELSE 'stationary' END AS way,
                   coalesce(lead(ts_us) OVER (PARTITION BY subject ORDER BY ts_us, seq), (hi + 1) * {S}) AS b
-           FROM ev CROSS JOIN bounds WHERE user_id % 3 = 0),
-way AS (SELECT household_id, subject, slot,
+           FROM ev JOIN bounds USING (household_id) WHERE user_id % 3 = 0),
+way AS MATERIALIZED (SELECT household_id, subject, slot,
                CASE WHEN sum(us) FILTER (way IS NOT NULL) >= {S} * 0.5 THEN coalesce(sum(us) FILTER (way = 'towards'), 0) / sum(us) FILTER (way IS NOT NULL) END AS towards,
                CASE WHEN sum(us) FILTER (way IS NOT NULL) >= {S} * 0.5 THEN coalesce(sum(us) FILTER (way = 'away_from'), 0) / sum(us) FILTER (way IS NOT NULL) END AS away
         FROM (SELECT household_id, subject, slot, way, least(b, (slot + 1) * {S}) - greatest(a, slot * {S}) AS us
               FROM (SELECT *, unnest(range(a // {S}, (b - 1) // {S} + 1)) AS slot FROM way_iv WHERE b > a)) GROUP BY ALL),
-prox AS (
+prox AS MATERIALIZED (
   SELECT k.household_id, k.subject, k.slot, k.distance_km,
-         k.distance_km - k1.distance_km AS distance_delta_30m, k.distance_km - k2.distance_km AS distance_delta_60m,
+         k.distance_km - km1 AS distance_delta_30m, k.distance_km - km2 AS distance_delta_60m,
          CASE WHEN k.subject <> 'house' AND k.n % 3 = 0 THEN w.towards
-              ELSE CAST(k.distance_km - k1.distance_km < -0.05 AS DOUBLE) END AS dir_towards,
+              ELSE CAST(k.distance_km - km1 < -0.05 AS DOUBLE) END AS dir_towards,
          CASE WHEN k.subject <> 'house' AND k.n % 3 = 0 THEN w.away
-              ELSE CAST(k.distance_km - k1.distance_km > 0.05 AS DOUBLE) END AS dir_away
-  FROM (SELECT *, try_cast(substr(subject, 2) AS INT) AS n FROM km) k
-  LEFT JOIN km k1 ON k1.subject = k.subject AND k1.household_id = k.household_id AND k1.slot = k.slot - 1
-  LEFT JOIN km k2 ON k2.subject = k.subject AND k2.household_id = k.household_id AND k2.slot = k.slot - 2
+              ELSE CAST(k.distance_km - km1 > 0.05 AS DOUBLE) END AS dir_away
+  FROM (SELECT *, try_cast(substr(subject, 2) AS INT) AS n, lag(distance_km) OVER w AS km1, lag(distance_km, 2) OVER w AS km2
+        FROM km WINDOW w AS (PARTITION BY household_id, subject ORDER BY slot)) k
   LEFT JOIN way w ON w.subject = k.subject AND w.household_id = k.household_id AND w.slot = k.slot),
 alarms AS (
   SELECT household_id, subject, ts_us,
@@ -137,7 +135,7 @@ def sql(ctes: list[str], select: str) -> str:
 HORIZONS = (1, 6, 24, 25, 48)
 
 TARGETS = """
-tg AS (SELECT household_id, subject, unnest(range(lo, hi + 97)) AS t FROM subjects CROSS JOIN bounds),
+tg AS (SELECT household_id, subject, unnest(range(lo, hi + 97)) AS t FROM subjects JOIN bounds USING (household_id)),
 wk AS MATERIALIZED (
   SELECT g.household_id, g.subject, g.t,
          avg(b.home_frac) FILTER (s = 0 AND w <= 4) AS wclim4, avg(b.home_frac) FILTER (s = 0) AS wclim8,

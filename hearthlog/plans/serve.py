@@ -171,7 +171,7 @@ def v1_current_rows(spark, sf_dir):
 
 
 @query("v2_nowcast", sql(V + [f"""
-at_now AS (SELECT household_id, subject, hi * {S} + 600000000 AS at_us FROM subjects CROSS JOIN bounds),
+at_now AS (SELECT household_id, subject, hi * {S} + 600000000 AS at_us FROM subjects JOIN bounds USING (household_id)),
 w AS (SELECT i.household_id, i.subject, sum(least(b, at_us) - greatest(a, at_us - 300000000)) FILTER (state <> 'unknown') AS obs,
              coalesce(sum(least(b, at_us) - greatest(a, at_us - 300000000)) FILTER (state = 'home'), 0) AS home
       FROM iv i JOIN at_now USING (household_id, subject) WHERE a < at_us AND b > at_us - 300000000 GROUP BY ALL)"""], """
@@ -306,25 +306,26 @@ def v11_prune(spark, sf_dir):
 
 
 VERIFY = """
-pts AS (SELECT f.household_id, f.subject, f.horizon_h, f.p, b.home_frac FROM fl f JOIN frac b ON b.household_id = f.household_id AND b.subject = f.subject AND b.slot = f.target_slot)"""
+pts AS (SELECT b.household_id, b.subject, h.h AS horizon_h, f.p, b.home_frac FROM frac b CROSS JOIN range(1, 49) h(h)
+        LEFT JOIN fl f ON b.household_id = f.household_id AND b.subject = f.subject AND b.slot = f.target_slot AND f.horizon_h = h.h)"""
 
 
 @query("x6_verification", sql(SAMPLES + [FLOG, VERIFY], """
-SELECT household_id, subject, horizon_h, count(*) AS served, count(*) FILTER (home_frac IS NOT NULL) AS n,
-       round(avg(pow(least(greatest(p, 1e-6), 1 - 1e-6) - CAST(home_frac >= 0.5 AS DOUBLE), 2)), 6) AS brier, round(avg(abs(p - home_frac)), 6) AS mae_frac FROM pts GROUP BY ALL"""))
+SELECT household_id, subject, CAST(horizon_h AS INTEGER) AS horizon_h, count(*) AS slots, count(p) AS served, count(*) FILTER (home_frac IS NOT NULL AND p IS NOT NULL) AS n,
+       round(avg(pow(least(greatest(p, 1e-6), 1 - 1e-6) - CAST(home_frac >= 0.5 AS DOUBLE), 2)) FILTER (p IS NOT NULL AND home_frac IS NOT NULL), 6) AS brier, round(avg(abs(p - home_frac)), 6) AS mae_frac FROM pts GROUP BY ALL"""))
 def x6_verification(spark, sf_dir):
     ev = build.events(spark, sf_dir)
     truth = g.slot_fraction(build.presence_signals(ev), build.subjects(ev))
     _points, scored = x.verification(truth, v.latest_forecasts(forecast_log(ev)))
-    return rounded(scored.select(*SID, "horizon_h", "served", "n", "brier", "mae_frac"), "brier", "mae_frac")
+    return rounded(scored.select(*SID, "horizon_h", "slots", "served", "n", "brier", "mae_frac"), "brier", "mae_frac")
 
 
-@query("j9_forecast_truth", sql(SAMPLES + [FLOG, VERIFY], "SELECT horizon_h, count(*) AS served, round(sum(p * home_frac), 4) AS dot FROM pts GROUP BY ALL"))
+@query("j9_forecast_truth", sql(SAMPLES + [FLOG, VERIFY], "SELECT CAST(horizon_h AS INTEGER) AS horizon_h, count(*) AS slots, count(p) AS served, round(sum(p * home_frac), 4) AS dot FROM pts GROUP BY ALL"))
 def j9_forecast_truth(spark, sf_dir):
     ev = build.events(spark, sf_dir)
     truth = g.slot_fraction(build.presence_signals(ev), build.subjects(ev))
     points, _scored = x.verification(truth, v.latest_forecasts(forecast_log(ev)))
-    return points.groupBy("horizon_h").agg(F.count("*").alias("served"), rnd(F.sum(F.col("p") * F.col("home_frac")), 4).alias("dot"))
+    return points.groupBy("horizon_h").agg(F.count("*").alias("slots"), F.count("p").alias("served"), rnd(F.sum(F.col("p") * F.col("home_frac")), 4).alias("dot"))
 
 
 # --- gate tables --------------------------------------------------------------------

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from hearthlog.operators import grid as g
 from hearthlog.plans import build
 from hearthlog.plans.grid import rounded
-from hearthlog.plans.log import L, LOG, TEXT
+from hearthlog.plans.log import DAY, NOW, STOP, TEXT, L
 from hearthlog.plans.oracle import EVENTS, FRACTIONS, S, sql
 from hearthlog.session import new_folder
-from hearthlog.sources import driver
+from hearthlog.sources import driver, statelog
 from hearthlog.streaming import ingest, slots
 
 QUERIES, ORACLE = {}, {}
@@ -36,52 +36,73 @@ def stream(spark, sf_dir):
         "event_type", F.col("value").alias("reading"))
 
 
-CLOSED = "(SELECT max(ts_us) - 5400000000 AS mark FROM ev)"
-
-
-@query("v15_slot_counts", sql([EVENTS], f"""
-SELECT household_id, ts_us // {S} AS slot, count(*) AS n FROM ev WHERE (ts_us // {S} + 1) * {S} <= {CLOSED} GROUP BY ALL"""))
+@query("v15_slot_counts", sql([EVENTS], f"SELECT household_id, ts_us // {S} AS slot, count(*) AS n FROM ev GROUP BY ALL"))
 def v15_slot_counts(spark, sf_dir):
-    return ingest.drained(slots.slot_counts(stream(spark, sf_dir), ["household_id"]), "slot-counts")
+    """Slots as the stream closes them, the late and the open ones from the log."""
+    emitted = ingest.drained(slots.slot_counts(stream(spark, sf_dir), ["household_id"]), "slot-counts")
+    return slots.repaired_counts(emitted, build.events(spark, sf_dir), ["household_id"])
 
 
-@query("v12_triggered_counts", sql([EVENTS], f"SELECT ts_us // {S} AS slot, count(*) AS n FROM ev WHERE (ts_us // {S} + 1) * {S} <= {CLOSED} GROUP BY ALL"))
+@query("v12_triggered_counts", sql([EVENTS], f"SELECT ts_us // {S} AS slot, count(*) AS n FROM ev GROUP BY ALL"))
 def v12_triggered_counts(spark, sf_dir):
-    return ingest.drained(slots.slot_counts(stream(spark, sf_dir)), "triggered")
+    emitted = ingest.drained(slots.slot_counts(stream(spark, sf_dir)), "triggered")
+    return slots.repaired_counts(emitted, build.events(spark, sf_dir))
 
 
 @query("s8_streaming_append", sql(L, f"""
 SELECT household_id, entity_id, ts_us, seq, {TEXT} AS value FROM lg"""))
 def s8_streaming_append(spark, sf_dir):
-    """The log sent twice; the second pass adds nothing."""
+    """Two sources of different rows, each with its own checkpoint, and the first again."""
     path = new_folder(spark, "log")
-    for _ in range(2):
-        rows = driver.states(stream(spark, sf_dir))
+    for half in (0, 1, 0):
+        rows = driver.states(stream(spark, sf_dir)).where(F.col("seq") % 2 == half)
         ingest.run_ingest(rows, path, new_folder(spark, "progress")).awaitTermination()
     return ingest.read_log(spark, path).withColumn("value", F.expr(TEXT))
 
 
-QUERIES["s9_streaming_collect"], ORACLE["s9_streaming_collect"] = QUERIES["s8_streaming_append"], ORACLE["s8_streaming_append"]
+HEARD = f"SELECT household_id, entity_id, ts_us, seq, {TEXT} AS value FROM lg WHERE ts_us < {NOW}"
 
 
-@query("v14_late_and_repeated", sql([EVENTS], "SELECT household_id, ts_us // 3600000000 AS hour, count(*) AS n FROM ev GROUP BY ALL"))
+@query("s9_streaming_collect", sql(L, HEARD + "".join(f"""
+UNION ALL SELECT DISTINCT household_id, 'hearthlog.heartbeat', {now}, 0, 'ok' FROM lg""" for now in (STOP, NOW))))
+def s9_streaming_collect(spark, sf_dir):
+    """Two collecting passes into the stored log: all there is, then what came since."""
+    path = new_folder(spark, "log")
+    upstream = driver.states(build.events(spark, sf_dir))
+    wanted = upstream.select(*statelog.ENTITY).distinct()
+    for now in (STOP, NOW):
+        ingest.insert_or_ignore(statelog.pull(ingest.read_log(spark, path), upstream, wanted, now), path)
+    return ingest.read_log(spark, path).withColumn("value", F.expr(TEXT))
+
+
+@query("v14_late_and_repeated", sql(L, f"SELECT household_id, entity_id, ts_us, seq * 10 + 3 AS seq, {TEXT} AS value FROM lg"))
 def v14_late_and_repeated(spark, sf_dir):
-    """Every reading twice, the second copy an arrival later."""
-    rows = driver.states(stream(spark, sf_dir)).where("entity_id like 'person%'")
-    twice = rows.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    once = ingest.drained(ingest.deduplicated(twice), "once")
-    return once.groupBy("household_id", F.call_function("div", F.col("ts_us"), F.lit(3_600_000_000)).alias("hour")).agg(F.count("*").alias("n"))
+    """Files a week each, the newest first and one at a time; every reading three
+    times, the copies disagreeing: the lowest number is the first reading."""
+    folder, path = new_folder(spark, "files"), new_folder(spark, "log")
+    rows = driver.states(build.events(spark, sf_dir))
+    copy = F.explode(F.array(F.lit(9), F.lit(3), F.lit(7)))
+    rows = rows.withColumn("copy", copy).select(
+        "household_id", "entity_id", "ts_us", (F.col("seq") * 10 + F.col("copy")).alias("seq"),
+        F.when(F.col("copy") == 3, F.col("value")).otherwise(F.concat("value", F.lit("?"))).alias("value"))
+    week = F.call_function("div", F.col("ts_us") - F.lit(1_704_067_200_000_000), F.lit(7 * DAY))
+    for number in (4, 3, 2, 1, 0):
+        rows.where(week == number).coalesce(1).write.mode("append").parquet(folder)
+    files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    ingest.run_ingest(files, path, new_folder(spark, "progress")).awaitTermination()
+    ingest.compact(spark, path, [r[0] for r in spark.range(3).selectExpr("date '2024-01-05' + int(id)").collect()])
+    return ingest.read_log(spark, path).withColumn("value", F.expr(TEXT))
 
 
-# Minutes the watermark has passed, then the grid up to the last whole slot of them.
-PEOPLE_ONLY = EVENTS + f""",
-pres AS (SELECT household_id, subject, ts_us, seq, state FROM ev WHERE (ts_us // 60000000 + 1) * 60000000 <= {CLOSED})"""
+# The whole grid of the people, as a batch would make it.
+PEOPLE_ONLY = EVENTS + """,
+pres AS (SELECT household_id, subject, ts_us, seq, state FROM ev)"""
 
 
 @query("v13_streaming_slots", sql([PEOPLE_ONLY, FRACTIONS], """
 SELECT household_id, subject, slot, round(home_frac, 6) AS home_frac, round(coverage, 6) AS coverage FROM frac WHERE subject <> 'house'"""))
 def v13_streaming_slots(spark, sf_dir):
-    people = driver.person_events(stream(spark, sf_dir))
-    emitted = ingest.drained(slots.minute_summaries(people), "minutes")
+    emitted = ingest.drained(slots.minute_summaries(driver.person_events(stream(spark, sf_dir))), "minutes")
     ev = build.events(spark, sf_dir)
-    return rounded(slots.finish(emitted, g.spine(driver.people(ev), ev)), "home_frac", "coverage")
+    minutes = slots.repaired(emitted, driver.person_events(ev))
+    return rounded(slots.finish(minutes, g.spine(driver.people(ev), ev)), "home_frac", "coverage")

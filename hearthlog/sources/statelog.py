@@ -209,12 +209,13 @@ def unit_keyed(points: DataFrame, units: DataFrame) -> DataFrame:
     and its `unit` (NULL when it has none).
     """
     object_id = F.regexp_replace("entity_id", r"^[^.]*\.", "")
-    wanted = units.select(
-        "household_id", "entity_id", F.coalesce("unit", "entity_id").alias("measurement"),
-        F.when(F.col("unit").isNotNull(), object_id).otherwise(F.lit("*")).alias("_object"))
-    keyed = points.where("field = 'value'").withColumn(
-        "_object", F.explode(F.array(F.col("object_id"), F.lit("*"))))
-    # A point filed under its own id matches through `*`, one under a unit by object id.
-    out = keyed.join(wanted, ["household_id", "measurement", "_object"])
+    points = points.where("field = 'value'")
+    # A sensor without a unit is filed under its own id, so it needs no object id.
+    own = units.where("unit is null").select("household_id", "entity_id", F.col("entity_id").alias("measurement"))
+    shared = units.where("unit is not null").select(
+        "household_id", "entity_id", F.col("unit").alias("measurement"), object_id.alias("object_id"))
+    columns = ["household_id", "entity_id", "ts_us", "seq", "value"]
+    out = points.join(own, ["household_id", "measurement"]).select(*columns).unionByName(
+        points.join(shared, ["household_id", "measurement", "object_id"]).select(*columns))
     return (out.withColumn("number", real(F.col("value"))).where("number is not null")
             .select("household_id", "entity_id", "ts_us", "seq", "number"))
