@@ -24,9 +24,9 @@ WINDOW = 5
 MOST_REPEATED = 20      # per cent of words
 
 # Parameters of the fit and of the verdict.
-SAMPLE = 1500           # labelled documents of each class, by a hash of their id
+SAMPLE = 400            # labelled documents of each class, by a hash of their id
 SAMPLE_LINES = 64       # lines of a document that the fit looks at; decoding looks at all
-ROUNDS = 300
+ROUNDS = 150
 STEP = 0.3
 PENALTY = 1e-3
 SHARE = 0.5             # of words in content lines
