@@ -5,10 +5,11 @@ the least hash. Equal strings have equal anchors, so a text is cut into blocks,
 of strings with one anchor, and only blocks with equal anchors can share a string.
 
 1. Blocks meet by anchor as hashes. Of blocks equal as a whole all but the first go.
-2. The bytes of blocks that share an anchor but differ are fetched. The suffixes of a
-   collection of them are sorted column-wise: each round inserts one symbol for every
-   block and updates the collection's Burrows-Wheeler transform and the common
-   prefixes of neighbours. Runs of neighbours that share `length` bytes are one string.
+2. The bytes of blocks that share an anchor but differ are fetched and aligned by the
+   anchor, so equal strings begin in one column. Column by column from the right, each
+   round inserts one symbol for every block and updates the collection's order, its
+   transform and the bytes that neighbours share. Runs of neighbours that share
+   `length` bytes are one string.
 3. The bytes of each document that are covered by a string met before are removed.
 
 An anchor that many blocks share is hot, and its blocks are taken apart into single
@@ -34,14 +35,14 @@ from hearthlog.llm.common import KEY, Store, keyed, table
 LENGTH = 100
 KMER = 32
 SLICE = 4 << 20         # bytes of text worked on at once
-HOT = 64                # different blocks of one anchor, in a slice or in all
+HOT = 2048              # different blocks of one anchor, in a slice or in all
 ANCHOR_GROUP = 8 << 20   # bytes of block records in a group
 STRING_GROUP = 2 << 20    # bytes of blocks in a collection
 
-BLOCK = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u2")])
+BLOCK = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u2"), ("off", "<u2")])
 RUN = np.dtype([("at", "<u4"), ("n", "<u4")])
-WANT = np.dtype([("at", "<u4"), ("n", "<u4"), ("anchor", "<u8")])   # anchor 0: string by string
-PLACE = np.dtype([("id", "<i8"), ("text", "<i8"), ("at", "<u4"), ("size", "<u4")])
+WANT = np.dtype([("at", "<u4"), ("n", "<u2"), ("off", "<u2"), ("anchor", "<u8")])   # anchor 0: string by string
+PLACE = np.dtype([("id", "<i8"), ("text", "<i8"), ("at", "<u4"), ("size", "<u2"), ("off", "<u2")])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,7 +75,8 @@ def leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
 
 def blocks(texts: list[bytes], length: int) -> np.ndarray:
     """The blocks of `texts`, `doc` counting in them: where the first string starts
-    and how many there are, by hashes of the anchor and of all bytes."""
+    and how many there are, by hashes of the anchor and of all bytes; `off` is where
+    the anchor lies from there."""
     chosen = [i for i, t in enumerate(texts) if len(t) >= length]
     if not chosen:
         return np.empty(0, BLOCK)
@@ -96,7 +98,7 @@ def blocks(texts: list[bytes], length: int) -> np.ndarray:
         content = mixed(content * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(lo + step, end)])
     out = np.empty(len(first), BLOCK)
     out["anchor"], out["content"], out["doc"] = h[at], content, np.array(chosen)[doc]
-    out["at"], out["n"] = lo - begin[doc], n
+    out["at"], out["n"], out["off"] = lo - begin[doc], n, at - lo
     return out
 
 
@@ -211,7 +213,8 @@ def at_anchors(hot: int):
         many = (count >= hot) | np.isin(live["anchor"], signals)
         wanted = np.concatenate([live[many], sets["hot"], live[~many & (count > 1)]])
         want = np.zeros(len(wanted), WANT)
-        want["at"], want["n"], want["anchor"] = wanted["at"], wanted["n"], wanted["anchor"] | np.uint64(1)
+        want["at"], want["n"], want["off"] = wanted["at"], wanted["n"], wanted["off"]
+        want["anchor"] = wanted["anchor"] | np.uint64(1)
         want["anchor"][:many.sum() + len(sets["hot"])] = 0
         out = np.empty(len(gone), RUN)
         out["at"], out["n"] = gone["at"], gone["n"]
@@ -242,75 +245,77 @@ def to_strings(length: int, buckets: int):
         for key in sorted(range(len(ids)), key=lambda i: (ids[i], hashes[i])):
             text, doc = texts[key], (ids[key], hashes[key])
             want = np.concatenate([np.frombuffer(w, WANT) for w in wants[key]])
-            for at, n, anchor in sorted(set(want.tolist())):
+            for at, n, off, anchor in sorted(set(want.tolist())):
                 if anchor:
-                    strings.setdefault((anchor >> 20) % buckets, []).append((*doc, at, text[at:at + n - 1 + length]))
+                    strings.setdefault((anchor >> 20) % buckets, []).append((*doc, at, text[at:at + n - 1 + length], off))
                     continue
                 for start in range(at, at + n):
                     string = text[start:start + length]
                     if string in seen:
                         if seen[string] != (*doc, start):
-                            gone.append((*doc, start, 1))
+                            gone.append((*doc, start, 1, 0))
                         continue
                     seen[string] = (*doc, start)
-                    strings.setdefault(xxhash.xxh64_intdigest(string) % buckets, []).append((*doc, start, string))
+                    strings.setdefault(xxhash.xxh64_intdigest(string) % buckets, []).append((*doc, start, string, off - (start - at)))
         rows = {"bucket": [], "places": [], "bytes": [], "gone": []}
         home = ids[0] % buckets
         for bucket in {*strings, home}:
             own = strings.get(bucket, [])
             rows["bucket"].append(bucket)
-            rows["places"].append(np.array([(*s[:3], len(s[3])) for s in own], PLACE).tobytes())
+            rows["places"].append(np.array([(*s[:3], len(s[3]), s[4]) for s in own], PLACE).tobytes())
             rows["bytes"].append(b"".join(s[3] for s in own))
             rows["gone"].append(np.array(gone if bucket == home else [], PLACE).tobytes())
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()})
     return run
 
 
-def suffix_order(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of `data` (strings of `size` bytes, end to end) in the order of the
-    suffixes of their strings from there on, and the bytes each shares with the one
-    before. A suffix that is another's beginning comes first.
+def columns(cells: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each column of `cells` (columns by strings; 0: no byte) from the right: the
+    strings in the order of what they hold from there on, and how many bytes each
+    shares with the one before, up to the first 0 in either.
 
-    Column-wise: after round j the order holds every suffix of j bytes at most.
-    `symbol` is the transform, the byte before each suffix plus one, 0 where a string
-    begins. The suffixes of the next round are those of this one with their symbol put
-    before them, so they stand in the stable order by symbol; of these, the ones that
-    grew out of last round's are new. What a new one shares with its neighbours is one
-    more than the least shared between the two places they grew out of.
+    A round inserts one symbol for every string. The symbols in the order so far are
+    the transform; its stable order by symbol is the new order. Neighbours with one
+    symbol share one byte more than the least shared between their former places.
     """
-    m, end = len(size), np.cumsum(size)
-    begins = np.zeros(len(data) + 1, bool)
-    begins[end - size] = True
-    before = np.zeros(len(data) + 1, np.uint8)
-    before[1:] = data + 1           # no byte of UTF-8 is 255
-    before[begins] = 0
-    # The empty suffix of a string stands at its end, where another may begin.
-    where, symbol = end.astype(np.int32), np.where(size > 0, data[np.maximum(end, 1) - 1] + 1 if len(data) else 0, 0).astype(np.uint8)
-    shared, new = np.zeros(m, np.uint16), np.ones(m, bool)
-    empty, last = where, symbol
-    while new.any() and symbol[new].any():
-        order = np.argsort(symbol, kind="stable")
-        order = order[np.count_nonzero(symbol == 0):]
-        kind, grown = symbol[order], new[order]
-        less = np.zeros(len(order), np.uint16)
-        less[~grown] = shared[m:]
-        change = grown.copy()
-        change[1:] |= grown[:-1]
-        change = np.flatnonzero(change)
-        less[change] = 0
-        change = change[change > 0]
-        change = change[kind[change] == kind[change - 1]]
-        lo, hi = order[change - 1] + 1, order[change] + 1
-        # From the last place to the first, so that only the ranges themselves are walked.
-        down = np.argsort(-lo, kind="stable")
-        pairs = np.stack([lo[down], hi[down]], 1).ravel()
-        if len(pairs):
-            less[change[down]] = np.minimum.reduceat(np.append(shared, 0), pairs)[::2] + 1
-        where = np.concatenate([empty, where[order] - 1])
-        shared = np.concatenate([np.zeros(m, np.uint16), less])
-        symbol = np.concatenate([last, before[where[m:]]])
-        new = np.concatenate([np.zeros(m, bool), grown])
-    return where[m:], shared[m:]
+    count = cells.shape[1]
+    order, shared = np.arange(count), np.zeros(count + 1, np.uint16)
+    for column in range(len(cells) - 1, -1, -1):
+        symbol = cells[column][order]
+        place = np.argsort(symbol, kind="stable")
+        kind = symbol[place]
+        same = np.flatnonzero((kind[1:] == kind[:-1]) & (kind[1:] > 0)) + 1
+        less = np.zeros(count + 1, np.uint16)
+        if len(same):
+            lo, hi = place[same - 1] + 1, place[same] + 1
+            # From the last place to the first, so that only the ranges themselves are walked.
+            down = np.argsort((count - lo).astype(np.uint16 if count < 65536 else np.int64), kind="stable")
+            less[same[down]] = np.minimum.reduceat(shared, np.stack([lo[down], hi[down]], 1).ravel())[::2] + 1
+        order, shared = order[place], less
+        yield column, order, shared[:count]
+
+
+def met_before(place: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """For each block of a collection, which of its strings come earlier in it."""
+    size, off = place["size"].astype(np.int64), place["off"].astype(np.int64)
+    left = int(off.max())
+    begin, start = np.cumsum(size) - size, left - off
+    cells = np.zeros((int((start + size).max()), len(place)), np.uint8)
+    owner = np.repeat(np.arange(len(place)), size)
+    cells[np.arange(len(data)) - (begin - start)[owner], owner] = data + 1      # no byte of UTF-8 is 255
+    # Strings of one column lie alike from their anchors, so anchors tell which is first.
+    key = np.rec.fromarrays([place["id"], place["text"], place["at"] + off])
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    out = np.zeros((len(place), int((size - length).max()) + 1), bool)
+    for column, order, shared in columns(cells):
+        alike = shared >= length
+        if column > left or not alike.any():
+            continue
+        first = np.flatnonzero(~alike)
+        best = np.minimum.reduceat(rank[order], first)
+        late = order[rank[order] > best[np.cumsum(~alike) - 1]]
+        out[late, column - start[late]] = True
+    return out
 
 
 def at_strings(length: int):
@@ -319,17 +324,10 @@ def at_strings(length: int):
         place = np.concatenate([np.frombuffer(b, PLACE) for b in part["places"]])
         rest = np.concatenate([np.frombuffer(b, PLACE) for b in part["gone"]])
         data = np.frombuffer(b"".join(part["bytes"]), np.uint8)
-        size = place["size"].astype(np.int64)
-        where, shared = suffix_order(data, size)
-        begin = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(size)), size)[where]
-        whole = where - begin[owner] <= size[owner] - length
-        same = np.cumsum(shared < length)[whole]
-        owner, at = owner[whole], place["at"][owner[whole]] + (where[whole] - begin[owner[whole]])
-        _, again = repeats([same], [place["id"][owner], place["text"][owner], at])
-        ids = np.concatenate([place["id"][owner[again]], rest["id"]])
-        texts = np.concatenate([place["text"][owner[again]], rest["text"]])
-        starts = np.concatenate([at[again], rest["at"]]).astype(np.int64)
+        owner, nth = np.nonzero(met_before(place, data, length)) if len(place) else (np.empty(0, np.int64),) * 2
+        ids = np.concatenate([place["id"][owner], rest["id"]])
+        texts = np.concatenate([place["text"][owner], rest["text"]])
+        starts = np.concatenate([place["at"][owner] + nth, rest["at"]]).astype(np.int64)
         # Neighbouring starts become runs.
         order = np.lexsort((starts, texts, ids))
         ids, texts, starts = ids[order], texts[order], starts[order]

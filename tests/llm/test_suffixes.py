@@ -48,24 +48,23 @@ def corpus():
     return rows
 
 
-def test_suffix_order_is_the_sorted_order():
+def test_columns_are_in_sorted_order():
     rng = random.Random(1)
     for n in range(60):
-        strings = [bytes(rng.choices(b"ab" if n % 2 else b"abcdefgh", k=rng.randrange(1, 30))) for _ in range(rng.randrange(1, 25))]
-        if n % 5 == 0:
-            strings += strings
-        data = np.frombuffer(b"".join(strings), np.uint8)
-        size = np.array([len(s) for s in strings])
-        where, shared = suffixes.suffix_order(data, size)
-        end = np.cumsum(size)
-        owner = np.searchsorted(end, where, "right")
-        found = [data[w:end[o]].tobytes() for w, o in zip(where, owner)]
-        assert sorted(where.tolist()) == list(range(len(data))) and found == sorted(found)
-        for i in range(1, len(found)):
-            a, b = found[i - 1], found[i]
-            common = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
-            assert shared[i] == common
-        assert shared[0] == 0
+        width, count = rng.randrange(1, 25), rng.randrange(1, 30)
+        rows = []
+        for _ in range(count):
+            lo = rng.randrange(width)
+            hi = rng.randrange(lo, width + 1)
+            rows.append(bytes(lo) + bytes(rng.choices(b"ab" if n % 2 else b"abcdefgh", k=hi - lo)) + bytes(width - hi))
+        cells = np.array([list(r) for r in rows], np.uint8).reshape(count, width).T
+        for column, order, shared in suffixes.columns(np.ascontiguousarray(cells)):
+            found = [rows[i][column:].split(b"\0")[0] for i in order]
+            assert found == sorted(found) and sorted(order.tolist()) == list(range(count))
+            for i in range(1, count):
+                a, b = found[i - 1], found[i]
+                assert shared[i] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+            assert shared[0] == 0
 
 
 def test_blocks_cover_every_string_once_and_equal_ones_share_an_anchor():
@@ -74,10 +73,10 @@ def test_blocks_cover_every_string_once_and_equal_ones_share_an_anchor():
     anchors = {}
     count = 0
     for b in found.tolist():
-        anchor, content, doc, at, n = b
+        anchor, content, doc, at, n, off = b
         for start in range(at, at + n):
             string = texts[doc][start:start + 100]
-            assert len(string) == 100
+            assert len(string) == 100 and 0 <= off - (start - at) <= 100 - suffixes.KMER
             assert anchors.setdefault(string, anchor) == anchor
             count += 1
     assert count == sum(max(0, len(t) - 99) for t in texts)
@@ -94,7 +93,7 @@ def check(spark, rows, hot):
     assert sum(w[1] for w in want.values()) > 5000
 
 
-@pytest.mark.parametrize("hot", [64, 2])
+@pytest.mark.parametrize("hot", [2048, 2])
 def test_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "SLICE", 3000)
     monkeypatch.setattr(suffixes, "ANCHOR_GROUP", 4000)
