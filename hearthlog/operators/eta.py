@@ -78,6 +78,15 @@ def arrivals(trace: DataFrame, keys: Sequence[str] = SID) -> DataFrame:
             .agg(F.count_if("_rise").alias("n_arrivals")))
 
 
+def split(samples: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Journeys that ended before their household's `cut_us`, and observations since:
+    what a speed or a model is fitted on, and what it is scored on. `samples` still
+    has `minutes_to_home`, so nothing that ends after the cut is learned from."""
+    cut = samples.join(cuts.select("household_id", "cut_us"), "household_id")
+    ended = F.col("ts_us") + F.col("minutes_to_home") * 6e7
+    return cut.where(ended < F.col("cut_us")).drop("cut_us"), cut.where(F.col("ts_us") >= F.col("cut_us")).drop("cut_us")
+
+
 def implied_kmh(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The median speed of journeys: the constant-speed baseline."""
     rated = samples.withColumn("_kmh", F.col("km") / (F.col("minutes_to_home") / 60))
@@ -96,10 +105,15 @@ def error_profile(predicted: DataFrame, keys: Sequence[str], eta: str = "eta_min
     return quantiles(wrong, keys, "_ae", {"median_ae_min": 0.5, "p90_ae_min": 0.9}).join(mean, list(keys))
 
 
-def current_rows(frame: DataFrame, now_us: int) -> DataFrame:
-    """The newest observation of each subject, if it is on its way home."""
-    recent = frame.where((F.col("ts_us") >= now_us - LOOKBACK_US) & (F.col("ts_us") <= now_us))
+def current_rows(frame: DataFrame, now: int | DataFrame) -> DataFrame:
+    """The newest observation of each subject, if it is on its way home.
+
+    `now` is one moment, or `at_us` for each subject.
+    """
     rest = [c for c in frame.columns if c not in SID]
+    at = F.lit(now) if isinstance(now, int) else F.col("at_us")
+    frame = frame if isinstance(now, int) else frame.join(now.select(*SID, "at_us"), list(SID))
+    recent = frame.where((F.col("ts_us") >= at - LOOKBACK_US) & (F.col("ts_us") <= at))
     newest = recent.groupBy(*SID).agg(F.max_by(F.struct(*rest), "ts_us").alias("_r")).select(*SID, "_r.*")
     return newest.where((F.col("km") >= MIN_JOURNEY_KM) & (F.col("closing_kmh") >= MIN_CLOSING_KMH))
 

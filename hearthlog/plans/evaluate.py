@@ -8,10 +8,10 @@ from hearthlog.functions import scores as sc
 from hearthlog.operators import evaluate as e
 from hearthlog.operators import features as f
 from hearthlog.operators import ladder
-from hearthlog.plans import build
+from hearthlog.plans import build, oracle
 from hearthlog.plans.features import samples
 from hearthlog.plans.grid import rnd, rounded
-from hearthlog.plans.oracle import ALL_ORIGINS, HORIZONS, S, SAMPLES, sql
+from hearthlog.plans.oracle import ALL_ORIGINS, S, SAMPLES, sql
 from hearthlog.schema import SHRINK_GRID
 
 QUERIES, ORACLE = {}, {}
@@ -84,7 +84,7 @@ fold_scores AS (
 
 
 def rows(spark, sf_dir):
-    """Labelled samples of five horizons, with the folds of their household.
+    """Labelled samples of every horizon, with the folds of their household.
 
     The ladder reads them four times, so slots and samples are written tables.
     """
@@ -107,7 +107,7 @@ def predicted(spark, sf_dir):
 
 def _rows(spark, sf_dir):
     slots = known_slots(spark, sf_dir)
-    long = f.usable_rows(f.samples(slots, HORIZONS))
+    long = f.usable_rows(f.samples(slots, oracle.HORIZONS))
     target = F.col("target_slot")
     long = long.select(
         "household_id", "subject", "slot", "horizon_h", "target_slot", "y", "state_now", "near_lag",

@@ -9,8 +9,8 @@ from hearthlog.functions import clock
 from hearthlog.operators import features as f
 from hearthlog.operators import grid as g
 from hearthlog.operators.shifts import at_offset
-from hearthlog.plans import build
-from hearthlog.plans.oracle import ALL_ORIGINS, EVENTS, HORIZONS, PROXIMITY, S, SAMPLES, sql
+from hearthlog.plans import build, oracle
+from hearthlog.plans.oracle import ALL_ORIGINS, EVENTS, PROXIMITY, S, SAMPLES, sql
 from hearthlog.plans.grid import rnd, rounded
 from hearthlog.schema import HOUSE, SID
 from hearthlog.sources import driver
@@ -38,8 +38,8 @@ def role():
 SQL_ROLE = "CASE WHEN subject = 'house' THEN 'house' ELSE 'p' || (CAST(substr(subject, 2) AS INT) % 3) END"
 
 
-def samples(ev, horizons=HORIZONS, weeks=4, wide_weeks=8):
-    return f.samples(build.slots(ev, f.AHEAD_SLOTS), horizons, weeks=weeks, wide_weeks=wide_weeks)
+def samples(ev, horizons=None, weeks=4, wide_weeks=8):
+    return f.samples(build.slots(ev, f.AHEAD_SLOTS), horizons or oracle.HORIZONS, weeks=weeks, wide_weeks=wide_weeks)
 
 
 def fingerprint(rows, columns, keys=(*SID, "horizon_h")):
@@ -197,7 +197,7 @@ x AS (SELECT s.household_id, s.subject, s.horizon_h, s.slot, b.role, b.home_frac
 def j4_cross_subject_lag(spark, sf_dir):
     ev = build.events(spark, sf_dir)
     table = build.slots(ev, f.AHEAD_SLOTS).withColumn("role", role())
-    rows = f.samples(table, HORIZONS, origin=("role",))
+    rows = f.samples(table, oracle.HORIZONS, origin=("role",))
     rows = f.with_others_lagged(rows, table, ROLES)
     aggs = []
     for x in ROLES:
@@ -247,7 +247,7 @@ def h2_target_calendar(spark, sf_dir):
 @query("h7_alarm_from_target", sql(ALL_ORIGINS + [PROXIMITY], """
 SELECT household_id, subject, horizon_h, count(rel) AS n, round(sum(rel), 6) AS sum_rel
 FROM (SELECT household_id, subject, h AS horizon_h, next_alarm_h - h AS rel
-      FROM next_alarm CROSS JOIN (VALUES (1), (6), (24), (25), (48)) h(h) WHERE subject <> 'house') GROUP BY ALL"""))
+      FROM next_alarm CROSS JOIN (SELECT CAST(unnest(range(1, 49)) AS INTEGER) AS h) h WHERE subject <> 'house') GROUP BY ALL"""))
 def h7_alarm_from_target(spark, sf_dir):
     ev = build.events(spark, sf_dir)
     signals = (driver.alarm_events(ev).withColumn("signal", F.lit("alarm"))
@@ -256,7 +256,7 @@ def h7_alarm_from_target(spark, sf_dir):
                       extra_slots=f.AHEAD_SLOTS)
     out = (out.withColumn("next_alarm_h", g.next_alarm_h(F.col("slot"), F.col("alarm_us")))
            .withColumnRenamed("presence_coverage", "coverage"))
-    rows = f.samples(out, HORIZONS, origin=("next_alarm_h",))
+    rows = f.samples(out, oracle.HORIZONS, origin=("next_alarm_h",))
     return rows.groupBy(*SID, "horizon_h").agg(
         F.count("next_alarm_rel_h").alias("n"), rnd(F.sum("next_alarm_rel_h"), 6).alias("sum_rel"))
 

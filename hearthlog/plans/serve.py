@@ -14,12 +14,12 @@ from hearthlog.operators import features as f
 from hearthlog.operators import gate, ladder, night, probe
 from hearthlog.operators import grid as g
 from hearthlog.operators import serve as v
-from hearthlog.plans import build
+from hearthlog.plans import build, oracle
 from hearthlog.plans import days as pd_
 from hearthlog.plans import evaluate as pe
 from hearthlog.plans.features import ROLES, SQL_ROLE, role
 from hearthlog.plans.grid import rnd, rounded
-from hearthlog.plans.oracle import ALL_ORIGINS, EVENTS, HORIZONS, PRESENCE, S, SAMPLES, TARGETS, sql
+from hearthlog.plans.oracle import ALL_ORIGINS, EVENTS, PRESENCE, S, SAMPLES, TARGETS, sql
 from hearthlog.schema import HORIZONS_H, SID
 from hearthlog.session import written
 from hearthlog.sources import driver
@@ -49,8 +49,13 @@ ft AS MATERIALIZED (
   SELECT *, CASE WHEN hrs > 0.02 THEN least(greatest((km0 - km) / hrs, -200), 200) ELSE 0 END AS closing_kmh,
          min(CASE WHEN km * 1000 < 200 THEN ts_us END) OVER (PARTITION BY subject ORDER BY ts_us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_us FROM sp),
 sa AS MATERIALIZED (SELECT *, (next_us - ts_us) / 6e7 AS minutes_to_home FROM ft WHERE next_us - ts_us > 0 AND next_us - ts_us <= 10800000000 AND km >= 1),
-kmh AS (SELECT household_id, median(km / (minutes_to_home / 60)) AS kmh FROM sa GROUP BY ALL),
-pe AS (SELECT s.*, kmh, least(greatest(km / kmh * 60, 0), 180) AS eta_min FROM sa s JOIN kmh USING (household_id))"""
+cut AS (SELECT household_id, (lo + (hi - lo) * 3 // 5) * 1800000000 AS cut_us FROM bounds),
+kmh AS (SELECT household_id, subject, median(km / (minutes_to_home / 60)) AS kmh FROM sa JOIN cut USING (household_id) WHERE next_us < cut_us GROUP BY ALL),
+pe AS (SELECT s.*, kmh, least(greatest(km / kmh * 60, 0), 180) AS eta_min FROM sa s JOIN kmh USING (household_id, subject) JOIN cut USING (household_id) WHERE ts_us >= cut_us),
+asked AS (SELECT household_id, subject, max_by(ts_us, round(closing_kmh, 6) * 1e3 + ts_us / 1e16) AS at_us FROM ft GROUP BY ALL),
+coming AS (SELECT household_id, subject, ts_us, km, closing_kmh FROM (
+  SELECT ft.*, row_number() OVER (PARTITION BY household_id, subject ORDER BY ts_us DESC) AS i FROM ft JOIN asked USING (household_id, subject)
+  WHERE ts_us <= at_us AND ts_us >= at_us - 21600000000) WHERE i = 1 AND km >= 1 AND closing_kmh >= 5)"""
 T = [EVENTS, TRACE]
 
 
@@ -91,20 +96,29 @@ def j8_next_event(spark, sf_dir):
     return out.select(*SID, "ts_us", "next_arrival_us")
 
 
+def cuts(ev):
+    """Three fifths into each household's log."""
+    spans = build.households(ev)
+    slot = F.col("start_slot") + F.call_function("div", (F.col("stop_slot") - F.col("start_slot")) * 3, F.lit(5))
+    return spans.select("household_id", (slot * S).alias("cut_us"))
+
+
+def held_out(spark, sf_dir):
+    """Observations since the cut, timed at the speed of the subject's journeys before."""
+    past, since = eta.split(journeys(spark, sf_dir), cuts(build.events(spark, sf_dir)))
+    return eta.baseline_minutes(since, eta.implied_kmh(past, SID), SID)
+
+
 @query("t4_constant_speed", sql(T, "SELECT household_id, subject, ts_us, round(kmh, 6) AS kmh, round(eta_min, 6) AS eta_min FROM pe"))
 def t4_constant_speed(spark, sf_dir):
-    s = journeys(spark, sf_dir)
-    keys = ["household_id"]
-    out = eta.baseline_minutes(s, eta.implied_kmh(s, keys), keys)
-    return rounded(out.select(*SID, "ts_us", "kmh", "eta_min"), "kmh", "eta_min")
+    return rounded(held_out(spark, sf_dir).select(*SID, "ts_us", "kmh", "eta_min"), "kmh", "eta_min")
 
 
 @query("t7_error_profile", sql(T, """
 SELECT household_id, count(*) AS n, round(avg(abs(eta_min - minutes_to_home)), 6) AS mae_min, round(quantile_cont(abs(eta_min - minutes_to_home), 0.5), 6) AS median_ae_min,
        round(quantile_cont(abs(eta_min - minutes_to_home), 0.9), 6) AS p90_ae_min FROM pe GROUP BY ALL"""))
 def t7_error_profile(spark, sf_dir):
-    s, keys = journeys(spark, sf_dir), ["household_id"]
-    out = eta.error_profile(eta.baseline_minutes(s, eta.implied_kmh(s, keys), keys), keys)
+    out = eta.error_profile(held_out(spark, sf_dir), ["household_id"])
     return rounded(out, "mae_min", "median_ae_min", "p90_ae_min")
 
 
@@ -115,24 +129,29 @@ def t7_arrivals(spark, sf_dir):
     return eta.arrivals(trace(build.events(spark, sf_dir)))
 
 
-@query("t8_on_the_way", sql(T, """
-SELECT household_id, subject, ts_us, round(km, 6) AS km, round(closing_kmh, 6) AS closing_kmh FROM (
-  SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ts_us DESC) AS i FROM ft WHERE ts_us <= 1706400000000000 AND ts_us >= 1706400000000000 - 21600000000)
-WHERE i = 1 AND km >= 1 AND closing_kmh >= 5"""))
+def coming(spark, sf_dir):
+    """Asked of each subject at the moment it closed in fastest."""
+    frame = eta.feature_frame(trace(build.events(spark, sf_dir)))
+    fastest = F.struct(F.round("closing_kmh", 6), "ts_us")
+    asked = frame.groupBy(*SID).agg(F.max_by("ts_us", fastest).alias("at_us"))
+    return eta.current_rows(frame, asked)
+
+
+@query("t8_on_the_way", sql(T, "SELECT household_id, subject, ts_us, round(km, 6) AS km, round(closing_kmh, 6) AS closing_kmh FROM coming"))
 def t8_on_the_way(spark, sf_dir):
-    out = eta.current_rows(eta.feature_frame(trace(build.events(spark, sf_dir))), 1_706_400_000_000_000)
-    return rounded(out.select(*SID, "ts_us", "km", "closing_kmh"), "km", "closing_kmh")
+    return rounded(coming(spark, sf_dir).select(*SID, "ts_us", "km", "closing_kmh"), "km", "closing_kmh")
 
 
 @query("t9_arrival_etas", sql(T + ["""
-last AS (SELECT household_id, subject, arg_max(eta_min, ts_us) AS eta_min FROM pe GROUP BY ALL),
+last AS (SELECT household_id, subject, least(greatest(km / kmh * 60, 0), 180) AS eta_min FROM coming JOIN kmh USING (household_id, subject)),
 al AS (SELECT * FROM last UNION ALL SELECT household_id, 'house', min(eta_min) FROM last GROUP BY ALL)"""],
     "SELECT s.household_id, s.subject, round_even(eta_min, 1) AS eta_min FROM subjects s LEFT JOIN al USING (household_id, subject)"))
 def t9_arrival_etas(spark, sf_dir):
-    s, keys = journeys(spark, sf_dir), ["household_id"]
-    p = eta.baseline_minutes(s, eta.implied_kmh(s, keys), keys)
-    newest = p.groupBy(*SID).agg(F.max_by("eta_min", "ts_us").alias("eta_min"))
-    return eta.arrival_etas(newest, driver.subjects(build.events(spark, sf_dir)))
+    """Those on their way, at the speed of their journeys before the cut."""
+    ev = build.events(spark, sf_dir)
+    past, _since = eta.split(journeys(spark, sf_dir), cuts(ev))
+    timed = eta.baseline_minutes(coming(spark, sf_dir), eta.implied_kmh(past, SID), SID)
+    return eta.arrival_etas(timed, driver.subjects(ev))
 
 
 # --- serving ----------------------------------------------------------------------
@@ -273,12 +292,18 @@ FLOG = """
 fl AS MATERIALIZED (SELECT household_id, subject, t AS target_slot, horizon_h, near_lag AS p FROM smp WHERE near_lag > -1)"""
 
 
-def forecast_log(ev):
-    slots = build.slots(ev, f.AHEAD_SLOTS)
-    rows = f.samples(slots, HORIZONS).where("near_lag is not null")
-    curve = rows.select(*SID, F.col("slot").alias("observed_slot"), "horizon_h", F.col("near_lag").alias("p"))
-    final = v.forecast_rows(curve, F.lit(2).cast("long"))
-    return final.unionByName(v.forecast_rows(curve.withColumn("p", F.lit(0.5)), F.lit(1).cast("long")))
+def forecast_log(spark, sf_dir):
+    rows = f.samples(pe.known_slots(spark, sf_dir), oracle.HORIZONS).where("near_lag is not null")
+    versions = F.array(F.struct(F.lit(0.5).alias("p"), F.lit(1).cast("long").alias("at")),
+                       F.struct(F.col("near_lag").alias("p"), F.lit(2).cast("long").alias("at")))
+    curve = rows.select(*SID, F.col("slot").alias("observed_slot"), "horizon_h", F.explode(versions).alias("_v"))
+    curve = curve.select(*SID, "observed_slot", "horizon_h", "_v.p", "_v.at")
+    return v.forecast_rows(curve, F.col("at"))
+
+
+def truth(spark, sf_dir):
+    ev = build.events(spark, sf_dir)
+    return build.table(spark, sf_dir, "truth", lambda: g.slot_fraction(build.presence_signals(ev), build.subjects(ev)))
 
 
 LAST_WINS = "SELECT household_id, subject, horizon_h, count(*) AS n, round(sum(p), 4) AS sum_p, min(target_slot) AS first, max(target_slot) AS last FROM fl"
@@ -291,17 +316,17 @@ def log_totals(df):
 
 @query("v9_forecast_log", sql(SAMPLES + [FLOG], LAST_WINS + " GROUP BY ALL"))
 def v9_forecast_log(spark, sf_dir):
-    return log_totals(v.latest_forecasts(forecast_log(build.events(spark, sf_dir))))
+    return log_totals(v.latest_forecasts(forecast_log(spark, sf_dir)))
 
 
 @query("v10_forecast_series", sql(SAMPLES + [FLOG], LAST_WINS + f" WHERE target_slot * {S} >= 1704844800000000 AND target_slot * {S} < 1705708800000000 GROUP BY ALL"))
 def v10_forecast_series(spark, sf_dir):
-    return log_totals(v.forecast_series(forecast_log(build.events(spark, sf_dir)), 1_704_844_800_000_000, 1_705_708_800_000_000))
+    return log_totals(v.forecast_series(forecast_log(spark, sf_dir), 1_704_844_800_000_000, 1_705_708_800_000_000))
 
 
 @query("v11_prune", sql(SAMPLES + [FLOG], LAST_WINS + f" WHERE target_slot * {S} >= 1706745600000000 - 10 * 86400000000 GROUP BY ALL"))
 def v11_prune(spark, sf_dir):
-    kept = v.prune(forecast_log(build.events(spark, sf_dir)), F.lit(1_706_745_600_000_000), 10)
+    kept = v.prune(forecast_log(spark, sf_dir), F.lit(1_706_745_600_000_000), 10)
     return log_totals(v.latest_forecasts(kept))
 
 
@@ -314,17 +339,13 @@ pts AS (SELECT b.household_id, b.subject, h.h AS horizon_h, f.p, b.home_frac FRO
 SELECT household_id, subject, CAST(horizon_h AS INTEGER) AS horizon_h, count(*) AS slots, count(p) AS served, count(*) FILTER (home_frac IS NOT NULL AND p IS NOT NULL) AS n,
        round(avg(pow(least(greatest(p, 1e-6), 1 - 1e-6) - CAST(home_frac >= 0.5 AS DOUBLE), 2)) FILTER (p IS NOT NULL AND home_frac IS NOT NULL), 6) AS brier, round(avg(abs(p - home_frac)), 6) AS mae_frac FROM pts GROUP BY ALL"""))
 def x6_verification(spark, sf_dir):
-    ev = build.events(spark, sf_dir)
-    truth = g.slot_fraction(build.presence_signals(ev), build.subjects(ev))
-    _points, scored = x.verification(truth, v.latest_forecasts(forecast_log(ev)))
+    _points, scored = x.verification(truth(spark, sf_dir), v.latest_forecasts(forecast_log(spark, sf_dir)), oracle.HORIZONS)
     return rounded(scored.select(*SID, "horizon_h", "slots", "served", "n", "brier", "mae_frac"), "brier", "mae_frac")
 
 
 @query("j9_forecast_truth", sql(SAMPLES + [FLOG, VERIFY], "SELECT CAST(horizon_h AS INTEGER) AS horizon_h, count(*) AS slots, count(p) AS served, round(sum(p * home_frac), 4) AS dot FROM pts GROUP BY ALL"))
 def j9_forecast_truth(spark, sf_dir):
-    ev = build.events(spark, sf_dir)
-    truth = g.slot_fraction(build.presence_signals(ev), build.subjects(ev))
-    points, _scored = x.verification(truth, v.latest_forecasts(forecast_log(ev)))
+    points, _scored = x.verification(truth(spark, sf_dir), v.latest_forecasts(forecast_log(spark, sf_dir)), oracle.HORIZONS)
     return points.groupBy("horizon_h").agg(F.count("*").alias("slots"), F.count("p").alias("served"), rnd(F.sum(F.col("p") * F.col("home_frac")), 4).alias("dot"))
 
 
@@ -446,7 +467,7 @@ def q2_slopes(spark, sf_dir):
 
 @query("q3_target_cell", sql(SAMPLES, "SELECT household_id, horizon_h, dow, sod, count(*) AS n FROM smp GROUP BY ALL"))
 def q3_target_cell(spark, sf_dir):
-    t = f.with_target_calendar(f.samples(build.slots(build.events(spark, sf_dir), f.AHEAD_SLOTS), HORIZONS))
+    t = f.with_target_calendar(f.samples(build.slots(build.events(spark, sf_dir), f.AHEAD_SLOTS), oracle.HORIZONS))
     return t.groupBy("household_id", "horizon_h", F.col("tgt_dow").cast("long").alias("dow"), F.col("tgt_slot_of_day").cast("long").alias("sod")).agg(F.count("*").alias("n"))
 
 
