@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hearthlog.llm.common import once, table
 
 CONTEXT = 48        # code points before a span in which context words count
+RUN = 256           # matches gathered at once
 THRESHOLD = 0.7     # least score of a span that is not a base one
 
 
@@ -89,17 +90,31 @@ def confirmed(kind: Kind, found: Column) -> Column:
     return F.lit(None).cast("boolean")
 
 
-def spans(kind: Kind, text: Column) -> Column:
-    """Confirmed spans of one kind: start and end in code points, and a score.
+PAIR = "array<struct<gap:int,length:int,sure:boolean,near:boolean>>"
+SPAN = "array<struct<start:int,rank:int,end:int,score:double>>"
 
-    Matches and the gaps before them come from one pattern anchored to the end of
-    the match before, so positions are running sums of lengths.
+
+def proposed(kind: Kind, text: Column) -> Column:
+    """Matches of one kind by their length and that of the gap before, confirmed or
+    not, near a context word or not.
+
+    Matches and gaps come from one pattern anchored to the end of the match before,
+    so positions are running sums of lengths.
     """
     whole = F.lit(rf"\G(?s:(.*?))({kind.pattern})")
     pairs = F.zip_with(F.regexp_extract_all(text, whole, 1), F.regexp_extract_all(text, whole, 2), lambda gap, found: F.struct(
         F.length(gap).alias("gap"), F.length(found).alias("length"), confirmed(kind, found).alias("sure"),
         F.lower(F.right(gap, F.lit(CONTEXT))).rlike(rf"\b(?:{kind.context})").alias("near")))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,score:double>>")
+    return F.when(text.rlike(kind.near), pairs).otherwise(F.array().cast(PAIR))
+
+
+def spans(kind: Kind, pairs: Column) -> Column:
+    """Start, end and score of what is kept of `pairs`, an array worked out before.
+
+    Runs of RUN matches are gathered apart and then joined, so that a text with very
+    many does not copy all so far for each.
+    """
+    empty = F.array().cast(SPAN)
 
     def place(state, pair):
         start = state["at"] + pair["gap"]
@@ -112,9 +127,13 @@ def spans(kind: Kind, text: Column) -> Column:
             keep = keep & (score >= THRESHOLD)
         return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    found = F.aggregate(pairs, start, place, lambda state: state["out"])
-    return F.when(text.rlike(kind.near), found).otherwise(empty)
+    def gather(state, run):
+        start = F.struct(state["at"].alias("at"), empty.alias("out"))
+        more = F.aggregate(F.slice(pairs, run * RUN + 1, F.lit(RUN)), start, place)
+        return F.struct(more["at"].alias("at"), F.concat(state["out"], more["out"]).alias("out"))
+
+    runs = F.sequence(F.lit(0), F.call_function("div", F.size(pairs), F.lit(RUN)).cast("int"))
+    return F.aggregate(runs, F.struct(F.lit(0).alias("at"), empty.alias("out")), gather, lambda state: state["out"])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -127,8 +146,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows, and a text may hold any number of spans.
     """
     text = F.coalesce("text", F.lit(""))
-    found = F.array_sort(F.concat(*(spans(kind, text) for kind in KINDS)))
-    return once(found, "found", "doc_id", source=docs.select("doc_id", "text"))
+    pairs = F.struct(*(proposed(kind, text).alias(kind.name) for kind in KINDS))
+    matched = once(pairs, "_pairs", "doc_id", source=docs.select("doc_id", "text"))
+    found = F.array_sort(F.concat(*(spans(kind, F.col(f"_pairs.{kind.name}")) for kind in KINDS)))
+    return once(found, "found", "doc_id", source=matched)
 
 
 def written_spans(found: Column) -> Column:

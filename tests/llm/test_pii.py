@@ -42,11 +42,11 @@ TEXTS = [
     "41111111111111114111111111111111", "4111  1111 1111 1111", "+1 (348) 555-4944 +49(0)30 1234567 +1 2 +(12) 3456789012",
     "+1 (348) 555-4944 4111 1111 1111 1111 10.0.0.1 a@b.cd", "++1234567890-", "12.34.56.78@9.9.9.9 +12.34.56.78.90",
     "line\n1.1.1.1\n2.2.2.2\r\n", "GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33", "ssn 123-45-6789 or 123-45-6789",
-    "x" * 200000 + "@a.b", "1" * 100000, "1." * 50000, "a@" + "b." * 30000 + "c", "+" + "(" * 100000, "9 " * 50000]
+    "x" * 10000 + "@a.b", "1" * 20000, "1." * 20000, "a@" + "b." * 9000 + "c", "+" + "(" * 100000, "9 " * 20000]
 
 
 def test_base_spans_equal_plain_regular_expressions(documents):
-    docs = documents(enumerate_rows(TEXTS))
+    docs = documents(enumerate_rows(TEXTS)).repartition(4)
     got = {r["doc_id"]: r for r in columns(docs).collect()}
     for i, text in enumerate(TEXTS):
         want = brute(text)
@@ -65,9 +65,9 @@ def columns(docs):
 
 
 def test_checksums_and_context_decide_on_added_spans(documents):
-    rows = {r["doc_id"]: r for r in columns(documents(enumerate_rows(TEXTS))).collect()}
-    assert rows[16]["n_iban"] == 1 and "iban:0:27" in rows[16]["spans"]
-    assert rows[17]["n_ssn"] == 1 and rows[17]["spans"] == "ssn:4:15"
+    rows = {r["doc_id"]: r for r in columns(documents(enumerate_rows(TEXTS[16:18] + TEXTS[:2]))).collect()}
+    assert rows[0]["n_iban"] == 1 and "iban:0:27" in rows[0]["spans"]
+    assert rows[1]["n_ssn"] == 1 and rows[1]["spans"] == "ssn:4:15"
 
 
 def test_empty_table_null_ids_repeats_and_other_columns(spark, documents):
@@ -87,6 +87,6 @@ def test_generated_texts(documents):
     def grow(parts):
         texts.append("".join(parts))
     grow()
-    got = {r["doc_id"]: r for r in columns(documents(enumerate_rows(texts))).collect()}
+    got = {r["doc_id"]: r for r in columns(documents(enumerate_rows(texts)).repartition(4)).collect()}
     for i, text in enumerate(texts):
         assert base(got[i]) == brute(text), text
