@@ -358,7 +358,30 @@ def all_verdicts(spark, sf_dir):
     return gate.verdicts(mine, bars)
 
 
-@query("m9_gate")
+KINDS = "('persistence', 'same_slot_yesterday')"
+# Two rungs as candidates against the best of the other four.
+GATE = f"""
+pool AS (SELECT household_id, horizon_h, rung, sum(brier * n) / sum(n) AS brier FROM fold_scores GROUP BY ALL),
+low AS (SELECT household_id, horizon_h, min(brier) AS best_brier FROM pool WHERE rung NOT IN {KINDS} GROUP BY ALL),
+bar AS (SELECT p.household_id, p.horizon_h, min(p.rung) AS best_rung, best_brier FROM pool p JOIN low USING (household_id, horizon_h)
+        WHERE p.rung NOT IN {KINDS} AND round(p.brier, 12) = round(best_brier, 12) GROUP BY ALL),
+won AS (SELECT m.household_id, m.horizon_h, m.rung AS kind, count(*) AS trials, count(*) FILTER (m.brier < o.brier - 1e-12) AS beat
+        FROM fold_scores m JOIN bar b USING (household_id, horizon_h)
+        LEFT JOIN fold_scores o ON o.household_id = m.household_id AND o.horizon_h = m.horizon_h AND o.fold = m.fold AND o.rung = b.best_rung
+        WHERE m.rung IN {KINDS} GROUP BY ALL),
+verdict AS (SELECT p.household_id, p.horizon_h, kind, p.brier, best_rung,
+       (p.brier < best_brier AND NOT (beat * 2 < trials AND {pe.SIGN.format(w='trials - beat', n='trials')} < 0.05)
+        AND 100 * (1 - p.brier / best_brier) >= CASE WHEN trials <= 4 THEN 15 ELSE 5 END) AS ships
+       FROM pool p JOIN bar USING (household_id, horizon_h) JOIN won w ON w.household_id = p.household_id AND w.horizon_h = p.horizon_h AND w.kind = p.rung),
+placed AS (SELECT *, row_number() OVER w AS place, lead(kind) OVER w AS rival_kind, lead(brier) OVER w AS rival_brier FROM verdict
+           WINDOW w AS (PARTITION BY household_id, horizon_h ORDER BY ships DESC, round(brier, 12), kind)),
+chosen AS (SELECT * FROM placed WHERE place = 1)"""
+G = pe.LADDER + [pe.LONG, GATE]
+
+
+@query("m9_gate", sql(G, """
+SELECT household_id, horizon_h, CASE WHEN ships THEN kind END AS kind, round(brier, 6) AS brier, ships, CASE WHEN ships THEN rival_kind END AS rival_kind,
+       CASE WHEN ships THEN round(rival_brier, 6) END AS rival_brier FROM chosen"""))
 def m9_gate(spark, sf_dir):
     return rounded(gate.choose(all_verdicts(spark, sf_dir)), "brier", "rival_brier")
 
@@ -369,13 +392,16 @@ def m10_metrics_table(spark, sf_dir):
     return out.drop("per_fold").withColumn("folds_json", F.to_json(F.struct("trials", "beat", "sign_p")))
 
 
-@query("x7_metrics_summary")
+@query("x7_metrics_summary", sql(G, "SELECT household_id, kind, count(*) AS horizons, count(*) FILTER (ships) AS shipping, round(avg(brier), 6) AS mean_brier FROM verdict GROUP BY ALL"))
 def x7_metrics_summary(spark, sf_dir):
     return all_verdicts(spark, sf_dir).groupBy("household_id", "kind").agg(
-        F.count("*").alias("horizons"), F.count_if("ships").alias("shipping"), F.avg("brier").alias("mean_brier"))
+        F.count("*").alias("horizons"), F.count_if("ships").alias("shipping"), rnd(F.avg("brier")).alias("mean_brier"))
 
 
-@query("x9_serving_status")
+@query("x9_serving_status", sql(G, """
+SELECT a.household_id, CAST(h AS INTEGER) AS horizon_h, CASE WHEN coalesce(ships, false) THEN 'model' ELSE 'none' END AS served_by,
+       CASE WHEN ships THEN kind END AS model_kind, CASE WHEN NOT ships THEN best_rung END AS best_baseline
+FROM (SELECT DISTINCT household_id FROM verdict) a CROSS JOIN range(1, 49) r(h) LEFT JOIN chosen c ON c.household_id = a.household_id AND c.horizon_h = h"""))
 def x9_serving_status(spark, sf_dir):
     verdicts = written(all_verdicts(spark, sf_dir), "verdicts")
     chosen = gate.choose(verdicts).join(verdicts.select("household_id", "horizon_h", "best_rung").distinct(), ["household_id", "horizon_h"])
