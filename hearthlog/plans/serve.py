@@ -538,11 +538,21 @@ def q6_stratified_brier(spark, sf_dir):
     return rounded(probe.stratified_brier(marked(spark, sf_dir, "p_slot_climatology")), "brier", "base_rate", "spread")
 
 
-@query("q7_compare_strata")
+def _arm(column):
+    return (f"SELECT household_id, fold, stratum, avg(pow(least(greatest({column}, 1e-6), 1 - 1e-6) - label, 2)) AS brier "
+            f"FROM mk WHERE {column} IS NOT NULL GROUP BY ALL")
+
+
+@query("q7_compare_strata", sql(pe.LADDER + [PROBE, f"""
+arm AS ({_arm("p2")}), control AS ({_arm("p1")}),
+met AS (SELECT household_id, stratum, count(*) FILTER (a.brier < c.brier - 1e-12) AS folds_better, count(*) AS folds
+        FROM arm a JOIN control c USING (household_id, fold, stratum) GROUP BY ALL)"""], f"""
+SELECT *, round({pe.SIGN.format(w='folds_better', n='folds')}, 6) AS sign_p FROM met"""))
 def q7_compare_strata(spark, sf_dir):
     """One arm against a control, fold by fold."""
     arm = probe.stratified_brier(marked(spark, sf_dir, "p_persistence"))
-    return probe.compare_strata(arm, probe.stratified_brier(marked(spark, sf_dir, "p_base_rate")))
+    out = probe.compare_strata(arm, probe.stratified_brier(marked(spark, sf_dir, "p_base_rate")))
+    return rounded(out, "sign_p")
 
 
 @query("q8_departure_timing", sql(pd_.DAY_SQL + [pd_.LEFT, """
