@@ -52,6 +52,11 @@ def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.coalesce("doc_id", least).alias("_id"), F.xxhash64("text").alias("_text"), *more)
 
 
+def carried(docs: DataFrame) -> list[Column]:
+    """Every column of `docs` under a name no operator uses, in order: `_c0`, `_c1`, ..."""
+    return [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+
+
 def once(column: Column, name: str, *keep: str, source: DataFrame) -> DataFrame:
     """`source` with `column` worked out once per row, however often it is read.
 

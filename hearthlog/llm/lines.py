@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import KEY, Store, keyed, once, table
+from hearthlog.llm.common import KEY, Store, carried, keyed, once, table
 
 WINDOW = 2          # lines the rolling hash looks at
 MEAN_LINES = 4      # one line in so many ends a chunk
@@ -73,17 +73,19 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     store = Store(docs.sparkSession)
     flags = store.put(repeated(docs, store), "removed-chunks")
     none = F.array().cast("array<int>")
-    joined = keyed(docs, F.struct("*").alias("_row")).join(flags.hint("merge"), KEY, "left")
-    joined = joined.select("_row", F.coalesce("removed", none).alias("removed"))
-    joined = chunked(joined, "_row.text", "_row", "removed")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    body = names[docs.columns.index("text")]
+    joined = keyed(docs, *carried(docs)).join(flags.hint("merge"), KEY, "left")
+    joined = joined.select(*names, F.coalesce("removed", none).alias("removed"))
+    joined = chunked(joined, body, *names, "removed")
     left = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "removed")
-    joined = once(left, "_left", "_row", "_chunks", "removed", source=joined)
+    joined = once(left, "_left", *names, "_chunks", "removed", source=joined)
 
     def lines(column):
         return F.aggregate(column, F.lit(0).cast("long"), lambda total, i: total + F.get("_chunks", i)["n"])
     text = F.array_join(F.transform("_left", lambda i: F.get("_chunks", i)["body"]), "\n")
-    text = F.when(F.size("removed") == 0, F.col("_row.text")).otherwise(text)
-    kept = [(text if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns
+    text = F.when(F.size("removed") == 0, F.col(body)).otherwise(text)
+    kept = [(text if c == "text" else F.col(name)).alias(c) for c, name in zip(docs.columns, names)
             if c not in ("n_lines", "n_removed", "n_chunks_removed")]
     return joined.select(*kept, (lines("_left") + lines("removed")).alias("n_lines"), lines("removed").alias("n_removed"),
                          F.size("removed").cast("long").alias("n_chunks_removed"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import WORD, Store, ranked, table
+from hearthlog.llm.common import WORD, Store, carried, ranked, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5         # of all words, for the whole mix
@@ -46,18 +46,20 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take, so that their words come as near
     to `budget` as can be without exceeding it after a fair share of every length.
 
-    The share is rounded down, then lengths are rounded up in a scattered order
-    while they fit; that leaves less than the longest length, over which a bitset
-    holds every sum the documents left can make.
+    Twice the longest length is held back from the share, which is rounded down;
+    lengths are then rounded up in a scattered order until no more than that is left,
+    over which a bitset holds every sum the documents left can make.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
+    back = 2 * max(lengths)
+    part = max(0, budget - back)
+    take = [c * part // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, take))
-    order = sorted(range(len(lengths)), key=lambda i: (-(counts[i] * budget % total), lengths[i]))
+    order = sorted(range(len(lengths)), key=lambda i: (-(counts[i] * part % total), lengths[i]))
     for i in order:
-        if take[i] < counts[i] and 0 < lengths[i] <= left:
+        if take[i] < counts[i] and 0 < lengths[i] <= left - back:
             take[i] += 1
             left -= lengths[i]
     # Every sum up to what is left, one bit each; copies by doubling.
@@ -135,11 +137,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     same = ["_id", "_source", "_text"]
     taken = mixed(docs, **options).select(*key, F.col("text_hash").alias("_text"), "times")
     taken = taken.groupBy(*same).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
-    rows = docs.select(*key, F.xxhash64("text").alias("_text"), F.struct("*").alias("_row"))
+    rows = docs.select(*key, F.xxhash64("text").alias("_text"), *carried(docs))
     nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
     times = F.call_function("div", F.col("_times"), F.col("_rows")) + (nth <= F.col("_times") % F.col("_rows")).cast("long")
     out = rows.join(taken.hint("merge"), same).withColumn("_copies", times).where("_copies > 0")
-    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    out = out.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return out.select(*(F.col(name).alias(c) for name, c in zip(names, docs.columns)))
 
 
 def op10_mix(spark, sf_dir):
