@@ -1,9 +1,12 @@
 """Repeated passages removed line by line, in chunks whose edges the lines choose.
 
-A hash rolling over the last lines decides where a chunk ends, so text inserted
-above a passage does not shift the chunks inside it. Chunks of several lines that
-occur again anywhere are removed, all but the first, after their bytes have been
-compared. Column functions only.
+`passage_dedup` starts a chunk at every line that is not blank: that line and the
+next one, or the line alone where it is long. What repeats in two such lines or more
+is so made of repeated chunks whatever surrounds it. `line_dedup` is the coarse form:
+a hash rolling over the last lines decides where a chunk ends, and only chunks that
+repeat as a whole go. In both, text inserted above a passage does not shift the
+chunks inside it, and chunks that occur again anywhere are removed, all but the
+first, after their bytes have been compared. Column functions only.
 """
 
 from __future__ import annotations
@@ -11,11 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import KEY, Store, carried, keyed, once, table
+from hearthlog.llm.common import KEY, WORD, Store, carried, keyed, once, table
 
 WINDOW = 2          # lines the rolling hash looks at
 MEAN_LINES = 4      # one line in so many ends a chunk
 MIN_LINES = 2       # shorter chunks stay
+LONG_WORDS = 50     # a line of more words is a chunk by itself
+
+SPACE = r"[\x20\x09-\x0D]"
+LONG = rf"^{SPACE}*+(?:{WORD}+{SPACE}++){{{LONG_WORDS}}}{WORD}"
 
 
 def boundaries(lines: Column) -> Column:
@@ -91,8 +98,84 @@ def line_dedup(docs: DataFrame) -> DataFrame:
                          F.size("removed").cast("long").alias("n_chunks_removed"))
 
 
+def windowed(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The columns `keep`, `_lines`, and `_spans`: (start, end, h) of every chunk of a
+    long line, or of two lines with only blank ones between, not both long. `h` hashes
+    the two."""
+    split = once(F.split(F.coalesce(text, F.lit("")), "\n", -1), "_lines", *keep, source=rows)
+    marked = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(WORD), F.struct(
+        i.alias("at"), F.xxhash64(line).alias("h"), line.rlike(LONG).alias("long")))), lambda line: line.isNotNull())
+    marked = once(marked, "_full", *keep, "_lines", source=split)
+    fewer = F.greatest(F.size("_full") - 1, F.lit(0))
+
+    def span(a, b):
+        return F.struct(a["at"].alias("start"), b["at"].alias("end"), F.xxhash64(a["h"], b["h"], b["at"] - a["at"]).alias("h"))
+    alone = F.transform(F.filter("_full", lambda a: a["long"]), lambda a: span(a, a))
+    pairs = F.zip_with(F.slice("_full", F.lit(1), fewer), F.slice("_full", F.lit(2), fewer),
+                       lambda a, b: F.when(~(a["long"] & b["long"]), span(a, b)))
+    spans = F.concat(alone, F.filter(pairs, lambda pair: pair.isNotNull()))
+    return once(spans, "_spans", *keep, "_lines", source=marked)
+
+
+def repeated_lines(docs: DataFrame, store: Store) -> DataFrame:
+    """KEY and `removed`: which lines of a document lie in chunks that occur earlier."""
+    rows = keyed(docs, F.col("text").alias("_body"))
+    place = [*KEY, "start", "end"]
+    hashes = windowed(rows, "_body", *KEY).select(*KEY, F.inline("_spans"))
+    hashes = store.put(hashes, "chunk-hashes")
+    again = hashes.groupBy("h").count().where("count > 1").select("h")
+    suspects = hashes.join(again, "h", "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("start", "end", "h")).alias("spans"))
+    # Only suspects' bytes are compared, and texts are cut after the join, by merging.
+    found = rows.join(suspects.hint("merge"), KEY)
+    found = once(F.split("_body", "\n", -1), "_lines", *KEY, "spans", source=found)
+
+    def body(span):
+        one, two = F.get("_lines", span["start"]), F.get("_lines", span["end"])
+        return (F.when(span["start"] == span["end"], one).when(span["start"] + 1 == span["end"], F.concat_ws("\n", one, two))
+                .otherwise(F.array_join(F.slice("_lines", span["start"] + 1, span["end"] - span["start"] + 1), "\n")))
+    bodies = F.transform("spans", lambda span: F.struct(span["start"].alias("start"), span["end"].alias("end"),
+                                                        span["h"].alias("h"), body(span).alias("body")))
+    bodies = store.put(found.select(*KEY, F.inline(bodies)), "chunk-bodies")
+    first = bodies.groupBy("h", "body").agg(F.min(F.struct(*place)).alias("first"))
+    later = bodies.join(first.hint("merge"), ["h", "body"]).where(F.struct(*place) > F.col("first"))
+    # A chunk that overlaps its own first occurrence leaves that one whole.
+    own = (F.col("first._id") == F.col("_id")) & (F.col("first._text") == F.col("_text"))
+    begin = F.when(own, F.greatest("start", F.col("first.end") + 1)).otherwise(F.col("start"))
+    later = later.select(*KEY, begin.alias("begin"), "end").where("begin <= end")
+    later = later.select(*KEY, F.explode(F.sequence("begin", "end")).alias("at"))
+    return later.groupBy(*KEY).agg(F.collect_set("at").alias("removed"))
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """`docs` with the text that is left, then n_lines, n_removed (lines) and
+    n_chunks_removed (runs of removed lines).
+
+    A line goes if it lies in two lines, blank ones between them not counted, that
+    occur earlier (smallest doc_id, null first, then from the top), or if it has over
+    LONG_WORDS words and occurs earlier; so the first of equal lines always stays.
+    Short lines repeated alone, and blank lines, stay. Null text stays null and has
+    one empty line; a document may be left with an empty text. Other columns are
+    kept, but for any of the three added names; no rows give no rows.
+    """
+    store = Store(docs.sparkSession)
+    flags = store.put(repeated_lines(docs, store), "removed-lines")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    body = names[docs.columns.index("text")]
+    joined = keyed(docs, *carried(docs)).join(flags.hint("merge"), KEY, "left")
+    joined = joined.select(*names, F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    split = once(F.split(F.coalesce(body, F.lit("")), "\n", -1), "_lines", *names, "removed", source=joined)
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")
+    text = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    text = F.when(F.size("removed") == 0, F.col(body)).otherwise(text)
+    runs = F.size(F.array_except("removed", F.transform("removed", lambda i: i + 1)))
+    kept = [(text if c == "text" else F.col(name)).alias(c) for c, name in zip(docs.columns, names)
+            if c not in ("n_lines", "n_removed", "n_chunks_removed")]
+    return split.select(*kept, F.size("_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
+                        runs.cast("long").alias("n_chunks_removed"))
+
+
 def op7_line_dedup(spark, sf_dir):
-    left = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_removed", "n_chunks_removed",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
