@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlog.llm.common import Store, table
@@ -128,8 +128,29 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
-def links(fps: DataFrame, store: Store, radius: int = RADIUS, agree: int = AGREE, group: int = GROUP) -> DataFrame:
-    """Pairs (a, b) of distinct `fps` that connect all within `radius` bits of each other."""
+def nearest(node: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct pairs the `most` of each node that differ in the fewest bits."""
+    order = np.lexsort((other, np.bitwise_count(node ^ other), node))
+    node, other = node[order], other[order]
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
+    keep = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node)))) < most
+    return node[keep], other[keep]
+
+
+def links(fps: DataFrame, store: Store, radius: int = RADIUS, agree: int = AGREE, group: int = GROUP,
+          most: int | None = None) -> DataFrame:
+    """Pairs (a, b) of distinct `fps` that connect all within `radius` bits of each
+    other; with `most`, in both directions, the `most` nearest of each a in each group."""
+    def closest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for values in grouped(batches):
+            for one in values:
+                found = [(np.empty(0, np.uint64),) * 2]
+                for a, b in near(one, radius):
+                    found.append(nearest(np.concatenate([a, b]), np.concatenate([b, a]), most))
+                a, b = nearest(*(np.concatenate(side) for side in zip(*found)), most)
+                if len(a):
+                    yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for values in grouped(batches):
             found = [(np.empty(0, np.uint64),) * 2]
@@ -147,7 +168,7 @@ def links(fps: DataFrame, store: Store, radius: int = RADIUS, agree: int = AGREE
         large = store.put(sizes.where(over).select("mask", "key"), "large")
         several = sizes.where((F.col("count") > 1) & ~over).select("mask", "key")
         meeting = todo.join(several, ["mask", "key"]).repartition("mask", "key").sortWithinPartitions("mask", "key")
-        out.append(meeting.select("mask", "key", "fp").mapInPandas(compare, "a long, b long"))
+        out.append(meeting.select("mask", "key", "fp").mapInPandas(closest if most else compare, "a long, b long"))
         used = [r["mask"] % (1 << 64) for r in large.select("mask").distinct().collect()]  # few: masks of one round
         if not used:
             break
@@ -183,6 +204,77 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, agree: int = AGREE, g
     return marked.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Hashes (32 bits) of the different runs of `words` words, sorted; of a shorter text the whole."""
+    parts = text.lower().split()
+    if not parts:
+        return np.empty(0, "<u4")
+    whole = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    starts = [0, *ends[:-words].tolist()] if len(parts) > words else [0]
+    last = (ends[words - 1:] - 1).tolist() if len(parts) > words else [len(whole)]
+    return np.unique(np.array([xxhash.xxh32_intdigest(whole[a:b], SEED) for a, b in zip(starts, last)], "<u4"))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones, 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def verified(docs: DataFrame, pairs: DataFrame, store: Store, words: int, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b: hashes of texts of `docs`) whose word shingles are similar enough."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            hashes, rows = batch.column(0).to_pylist(), []
+            for i, h in enumerate(hashes):
+                if h != last:       # equal texts lie together
+                    rows.append((h, shingles(batch.column(1)[i].cast(pa.binary()).as_py() or b"", words).tobytes()))
+                last = h
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+                                             names=["node", "words"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            good = [alike(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= similarity for x, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
+    found = texts.mapInArrow(sets, "node long, words binary").groupBy("node").agg(F.min("words").alias("words"))
+    found = store.put(found, "shingles")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("words").alias("words_a")).hint("merge"), "a")
+    both = both.join(found.select(F.col("node").alias("b"), F.col("words").alias("words_b")).hint("merge"), "b")
+    return both.select("a", "b", "words_a", "words_b").mapInArrow(check, "a long, b long")
+
+
+def near_copies(docs: DataFrame, radius: int, words: int, similarity: float, most: int, agree: int = AGREE, group: int = GROUP) -> DataFrame:
+    """doc_id, text_hash and `root` of every row of `docs` (doc_id, text): equal roots
+    are equal texts or connected by pairs whose sets of `words`-word shingles have a
+    Jaccard similarity of `similarity` or more.
+
+    Fingerprints within `radius` bits propose, each its `most` nearest; shingles decide.
+    Among texts of one fingerprint the one of the smallest hash stands for the rest.
+    """
+    store = Store(docs.sparkSession)
+    marked = store.put(fingerprints(docs), "fingerprints")
+    texts = marked.select("fp", F.col("text_hash").alias("node")).distinct()
+    stands = store.put(texts.groupBy("fp").agg(F.min("node").alias("node")), "distinct")
+    near = links(stands.select("fp"), store, radius, agree, group, most).distinct()
+    by_bits = Window.partitionBy("a").orderBy(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), "b")
+    near = near.withColumn("nth", F.row_number().over(by_bits)).where(F.col("nth") <= most).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = (stands.select(F.col("fp").alias(side), F.col("node").alias(f"node_{side}")) for side in "ab")
+    pairs = near.join(left, "a").join(right, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    same = texts.join(stands.withColumnRenamed("node", "a"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    pairs = store.put(pairs.union(same), "pairs")
+    roots = components(verified(docs, pairs, store, words, similarity), store)
+    return marked.join(roots, marked["text_hash"] == roots["node"], "left").select(
+        "doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
+
+
 def op8_simhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
