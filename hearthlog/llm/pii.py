@@ -34,6 +34,15 @@ class Kind:
 
 # The kinds, in their order.
 LOCAL = r"[A-Za-z0-9._%+-]"
+# Characters of account numbers by country, the first four included.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "DZ IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+# A known country's number ends after its length, whatever follows; another run is taken whole.
+ACCOUNT = "|".join([rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}+(?![A-Za-z0-9])" for n, names in LENGTHS.items()]
+                   + [r"[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])"])
 KINDS = (
     Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@[A-Za-z0-9-]",
          "mail|contact|write to|reach", 0.7),
@@ -42,7 +51,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?+[0-9]){13,}+", r"[0-9](?:[\x20-]?+[0-9]){13}",
          "card|visa|credit|payment|pan", 0.4),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", "phone|call|tel|mobile|fax", 0.6),
-    Kind("iban", r"(?:\G|(?<![A-Za-z0-9]))[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}",
+    Kind("iban", rf"(?:\G|(?<![A-Za-z0-9]))(?:{ACCOUNT})", "[A-Z]{2}[0-9]{2}",
          "iban|account|bank|transfer", 0.3, base=False),
     Kind("ssn", r"(?:\G|(?<![0-9-]))[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}",
          "ssn|social security|tax id", 0.5, base=False),
