@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hearthlog.llm import exact, lines, mixing, packing, pii, quality, sharding, simhash, suffixes, wordpiece
+from hearthlog.llm import codes, exact, lines, mixing, packing, phrases, pii, quality, sharding, simhash, suffixes, winnowing, wordpiece
 
-MODULES = (pii, sharding, suffixes, wordpiece, exact, quality, lines, simhash, packing, mixing)
+MODULES = (pii, sharding, suffixes, wordpiece, exact, quality, lines, simhash, packing, mixing, codes, phrases, winnowing)
 
 
 def queries():
