@@ -1,8 +1,10 @@
 """Quality rules: counts of the whole text, and lines labelled content or boilerplate.
 
 A linear-chain conditional random field over the lines is fitted on a bounded sample
-of labelled documents; Viterbi decoding finds each document's likeliest labels, and
-the share of its words that lie in content lines decides.
+of labelled documents. Its truth differs from line to line: lines of bad documents are
+boilerplate, and so are lines that the corpus repeats in ever other surroundings; the
+rest is content. Viterbi decoding finds each document's likeliest labels, and the share
+of its words that lie in content lines decides.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlog.llm.common import table
+from hearthlog.llm.common import KEY, WORD, Store, keyed, table
 
 # The rules.
 SYMBOLS = b"#*$%&|<>"
@@ -25,13 +27,15 @@ MOST_REPEATED = 20      # per cent of words
 
 # Parameters of the fit and of the verdict.
 SAMPLE = 400            # labelled documents of each class, by a hash of their id
-SAMPLE_LINES = 64       # lines of a document that the fit looks at; decoding looks at all
+SEGMENT = 128           # lines of a text that the fit pads and passes together; it sees all of them
+PLACES = 3              # different surroundings that make a repeated line boilerplate,
+MOVING = 50             # if they are at least so many per cent of the different texts that have it
 ROUNDS = 150
 STEP = 0.3
 PENALTY = 1e-3
-SHARE = 0.5             # of words in content lines
+SHARE = 0.25            # of words in content lines: a page may be mostly frame, not nearly all of it
 DIGITS, UPPER, STOPS = b"0123456789", bytes(range(65, 91)), b".!?:;,\"')"
-FEATURES = 9
+FEATURES = 10
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -56,10 +60,11 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edges[:n])))
 
 
-def line_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Features and words of each line, and how many lines with a word equal an earlier one."""
-    rows, counts, seen, again = [], [], set(), 0
-    for line in lines:
+def line_features(lines: list[bytes], common: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Features and words of each line, and how many lines with a word equal an earlier
+    one; `common` are the places of lines the corpus repeats in other surroundings."""
+    rows, counts, seen, again, common = [], [], set(), 0, set(common)
+    for at, line in enumerate(lines):
         words = line.split()
         n, size = len(words), max(1, len(line))
         repeat = n > 0 and line in seen
@@ -72,7 +77,7 @@ def line_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
         rows.append((
             1.0, len(set(words)) / n, 10.0 * (size - len(line.translate(None, SYMBOLS))) / size,
             (size - len(line.translate(None, DIGITS))) / size, (size - len(line.translate(None, UPPER))) / size,
-            float(line.rstrip()[-1:] in STOPS), float(repeat), min(n, 40) / 40.0, min(size / n, 40.0) / 20.0))
+            float(line.rstrip()[-1:] in STOPS), float(repeat), float(at in common), min(n, 40) / 40.0, min(size / n, 40.0) / 20.0))
     return np.array(rows), np.array(counts, np.int64), again
 
 
@@ -111,101 +116,156 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(examples: list[tuple[np.ndarray, int]], rounds: int = ROUNDS) -> Model:
-    """Gradient ascent on the likelihood of documents whose lines all have one label.
-
-    Classes weigh alike. Without examples of both, every line is content.
+def segments(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Lines of like many in arrays: features, truth, which are there, weight of a line
+    of each row, and whether the row begins its text. Classes of texts weigh alike."""
+    count = np.bincount([quality for _, _, quality in examples], minlength=2)
+    cut = [(x[i:i + SEGMENT], y[i:i + SEGMENT], 0.5 / count[quality] / len(x), i == 0)
+           for x, y, quality in examples for i in range(0, len(x), SEGMENT)]
+    for power in range(SEGMENT.bit_length()):
+        some = [one for one in cut if (len(one[0]) - 1).bit_length() == power]
+        if some:
+            x, y = np.zeros((len(some), 1 << power, FEATURES)), np.zeros((len(some), 1 << power), np.int64)
+            there = np.zeros(y.shape, bool)
+            for i, (features, truth, _, _) in enumerate(some):
+                x[i, :len(features)], y[i, :len(truth)], there[i, :len(truth)] = features, truth, True
+            yield x, y, there, np.array([one[2] for one in some]), np.array([one[3] for one in some])
+
+
+def uphill(model: Model, x, y, there, weight, begins) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gradient of the likelihood of one array of lines."""
+    longest = x.shape[1]
+    score = np.stack([np.zeros(x.shape[:2]), x @ model.emit], 2)
+    ahead, behind = np.zeros_like(score), np.zeros_like(score)
+    ahead[:, 0] = begins[:, None] * model.first + score[:, 0]
+    for t in range(1, longest):
+        new = log_sum(ahead[:, t - 1, :, None] + model.move, 1) + score[:, t]
+        ahead[:, t] = np.where(there[:, t, None], new, ahead[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        new = log_sum(model.move + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+        behind[:, t] = np.where(there[:, t + 1, None], new, 0.0)
+    total = log_sum(ahead[:, -1], 1)
+    mean = np.exp(ahead + behind - total[:, None, None]) * there[:, :, None]
+    truth = np.stack([y == 0, y == 1], 2) * there[:, :, None]
+    emit = np.einsum("dt,dtf,d->f", truth[:, :, 1] - mean[:, :, 1], x, weight)
+    pairs = np.exp(ahead[:, :-1, :, None] + model.move + (score + behind)[:, 1:, None, :] - total[:, None, None, None])
+    move = np.einsum("dtij,d->ij", truth[:, :-1, :, None] * truth[:, 1:, None, :] - pairs * there[:, 1:, None, None], weight)
+    return emit, move, ((truth[:, 0] - mean[:, 0]) * (weight * begins)[:, None]).sum(0)
+
+
+def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS) -> Model:
+    """Gradient ascent on the likelihood of the labels of (features, labels, quality).
+
+    Without examples of both qualities, every line is content.
     """
-    if len({label for _, label in examples}) < 2:
+    if len({quality for _, _, quality in examples}) < 2:
         return ALL_CONTENT
-    longest = max(len(x) for x, _ in examples)
-    x = np.zeros((len(examples), longest, FEATURES))
-    there = np.zeros((len(examples), longest), bool)
-    label = np.array([label for _, label in examples])
-    for i, (features, _) in enumerate(examples):
-        x[i, :len(features)] = features
-        there[i, :len(features)] = True
-    size = there.sum(1)
-    weight = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum()) / size
-    emit, move, first = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)
-    speed = [np.zeros_like(p) for p in (emit, move, first)]
+    arrays = list(segments(examples))
+    model = Model(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2))
+    params = (model.emit, model.move, model.first)
+    speed = [np.zeros_like(p) for p in params]
     for _ in range(rounds):
-        score = np.stack([np.zeros(x.shape[:2]), x @ emit], 2)
-        ahead, behind = np.zeros_like(score), np.zeros_like(score)
-        ahead[:, 0] = first + score[:, 0]
-        for t in range(1, longest):
-            new = log_sum(ahead[:, t - 1, :, None] + move, 1) + score[:, t]
-            ahead[:, t] = np.where(there[:, t, None], new, ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            new = log_sum(move + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-            behind[:, t] = np.where(there[:, t + 1, None], new, 0.0)
-        total = log_sum(ahead[:, -1], 1)
-        mean = np.exp(ahead + behind - total[:, None, None]) * there[:, :, None]
-        pairs = np.exp(ahead[:, :-1, :, None] + move + (score + behind)[:, 1:, None, :] - total[:, None, None, None])
-        pairs = (pairs * there[:, 1:, None, None] * weight[:, None, None, None]).sum((0, 1))
-        truth = np.stack([label == 0, label == 1], 1).astype(float)
-        up_emit = np.einsum("dt,dtf,d->f", (truth[:, 1:] - mean[:, :, 1]) * there, x, weight) - PENALTY * emit
-        up_move = np.diag(((size - 1) * weight) @ truth) - pairs - PENALTY * move
-        up_first = ((truth - mean[:, 0]) * weight[:, None]).sum(0) - PENALTY * first
-        for param, up, moving in zip((emit, move, first), (up_emit, up_move, up_first), speed):
+        ups = [sum(parts) for parts in zip(*(uphill(model, *array) for array in arrays))]
+        for param, up, moving in zip(params, ups, speed):
             moving *= 0.9
-            moving += STEP * up
+            moving += STEP * (up - PENALTY * param)
             param += moving
-    return Model(emit, move, first)
-
-
-def fit_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the texts of at most `sample` labelled documents of each class."""
-    each = [labels.where(F.col("quality") == q).select("doc_id", "quality")
+    return model
+
+
+def common_lines(docs: DataFrame, store: Store) -> DataFrame:
+    """KEY and `common`: the places of lines that the corpus repeats under PLACES
+    different lines or more, and over as many, and nearly as many as texts. Copies of a
+    text count once; lines that near copies share keep a neighbour. Nothing above or
+    below is different each time."""
+    rows = keyed(docs, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    hashes = F.filter(F.transform("lines", lambda line, i: F.when(line.rlike(WORD), F.struct(i.alias("at"), F.xxhash64(line).alias("h")))),
+                      lambda line: line.isNotNull())
+    rows = rows.select(*KEY, F.explode(F.array(hashes)).alias("lines"))
+    each = F.transform("lines", lambda line, i: F.struct(
+        line["at"].alias("at"), line["h"].alias("h"), F.when(i > 0, F.get("lines", i - 1)["h"]).alias("above"), F.get("lines", i + 1)["h"].alias("below")))
+    found = store.put(rows.select(*KEY, F.inline(each)), "lines")
+    texts = found.select("h", "above", "below", "_text").distinct()
+
+    def sides(name):
+        return F.count_distinct(name) + F.count(F.when(F.col(name).isNull(), 1))
+    moving = texts.groupBy("h").agg(F.least(sides("above"), sides("below")).alias("places"), F.count_distinct("_text").alias("texts"))
+    moving = moving.where((F.col("places") >= PLACES) & (100 * F.col("places") >= MOVING * F.col("texts"))).select("h")
+    return store.put(found.join(store.put(moving, "common-lines"), "h", "left_semi").groupBy(*KEY).agg(F.collect_set("at").alias("common")), "common")
+
+
+def marked(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """`docs` as `_row`, with KEY, text and `common`."""
+    rows = keyed(docs, F.struct("*").alias("_row"), "text")
+    return rows.join(common, KEY, "left").select(*KEY, "_row", "text", F.coalesce("common", F.array().cast("array<int>")).alias("common"))
+
+
+def fit_from(docs: DataFrame, labels: DataFrame, common: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
+    """A model from at most `sample` labelled rows of each class, with all their lines."""
+    both = [labels.where(F.col("quality") == q).select("doc_id", "quality").distinct()
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     # At most 2 * sample rows, so the broadcast has a bound.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(each[0].unionByName(each[1])), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(both[0].unionByName(both[1])), "doc_id")
+    each = [marked(chosen.where(F.col("quality") == q), common).orderBy(F.xxhash64("_id"), *KEY).limit(sample) for q in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [line_features((t or b"").split(b"\n")[:SAMPLE_LINES])[0].astype("<f4").tobytes()
-                    for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "quality": batch.column(1), "x": pa.array(rows, pa.binary())})
-    rows = chosen.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary").collect()
+            rows = [line_features((t or b"").split(b"\n"), c)[0].astype("<f4").tobytes()
+                    for t, c in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "quality": batch.column(1), "x": pa.array(rows, pa.binary()),
+                                              "common": batch.column(3)})
+    rows = each[0].union(each[1]).select("_id", "_row.quality", "text", "common")
+    rows = rows.mapInArrow(run, "doc_id long, quality int, x binary, common array<int>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["x"])))
-    return fit([(np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES).astype(float), r["quality"]) for r in rows])
+    examples = []
+    for r in rows:
+        x = np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES).astype(float)
+        labels = np.full(len(x), r["quality"])
+        labels[r["common"]] = 0
+        examples.append((x, labels, r["quality"]))
+    return fit(examples, rounds)
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_content_words"]
 
 
-def measures(text: bytes, model: Model) -> tuple[int, ...]:
+def measures(text: bytes, model: Model, common: list[int]) -> tuple[int, ...]:
     words, lines = text.split(), text.split(b"\n")
-    features, counts, again = line_features(lines)
+    features, counts, again = line_features(lines, common)
     content = int(counts[model.decode(features) == 1].sum()) if words else 0
     inside = b"".join(words)
     return len(words), len(inside.decode()), len(text) - len(text.translate(None, SYMBOLS)), again, repeated_words(words), content
 
 
-def judged(docs: DataFrame, model: Model, keep: list[str] | None = None, share: float = SHARE) -> DataFrame:
+def judged(docs: DataFrame, model: Model, common: DataFrame, keep: list[str] | None = None, share: float = SHARE) -> DataFrame:
     """`_row`, the columns `keep` of every row of `docs` (all unless named), with
-    NAMES, base_failed and kept.
+    NAMES, base_failed and kept; `common` comes from `common_lines`.
 
     Null text counts as empty and has no words, so it fails. Rows of any length,
     equal rows and other columns are judged and kept as they are; no rows give no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measures(t or b"", model) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = [measures(t or b"", model, c) for t, c in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(NAMES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_row", *NAMES])
 
-    rows = docs.select(F.struct(*(keep or docs.columns)).alias("_row"), "text")
+    rows = marked(docs, common).select(F.struct(*(f"_row.`{c}`" for c in keep or docs.columns)).alias("_row"), "text", "common")
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in NAMES)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     good = F.col("n_content_words") >= F.lit(share) * F.col("n_words")
     return rows.mapInArrow(run, schema).withColumn("base_failed", failed).withColumn("kept", ~failed & good)
 
 
+def rated(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """`judged` by a model fitted on what `labels` says about `docs`."""
+    common = common_lines(docs, Store(docs.sparkSession))
+    return judged(docs, fit_from(docs, labels, common), common, keep)
+
+
 def op6_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_from(docs, table(spark, sf_dir, "labels"))
-    return judged(docs, model, ["doc_id"]).select("_row.doc_id", *NAMES, "base_failed", "kept")
+    found = rated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("_row.doc_id", *NAMES, "base_failed", "kept")
 
 
 QUERIES = {"op6_quality": op6_quality}
