@@ -1,131 +1,68 @@
 """Repeated passages removed line by line, in chunks whose edges the lines choose.
 
-`passage_dedup` starts a chunk at every line that is not blank: that line and the
-next one, or the line alone where it is long. What repeats in two such lines or more
-is so made of repeated chunks whatever surrounds it. `line_dedup` is the coarse form:
-a hash rolling over the last lines decides where a chunk ends, and only chunks that
-repeat as a whole go. In both, text inserted above a passage does not shift the
-chunks inside it, and chunks that occur again anywhere are removed, all but the
-first, after their bytes have been compared. Column functions only.
+A hash rolling over two lines decides where a chunk starts, so text inserted above a
+passage does not shift the chunks inside it. Chunks that an earlier document has too are
+removed after their bytes have been compared. The edges of a passage lie in chunks that
+do not repeat as a whole; there every two neighbouring lines, and every long line, are
+compared in the same way, so each match is grown as far as it goes. Column functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlog.llm.common import KEY, WORD, Store, carried, keyed, once, table
 
-WINDOW = 2          # lines the rolling hash looks at
-MEAN_LINES = 4      # one line in so many ends a chunk
-MIN_LINES = 2       # shorter chunks stay
-LONG_WORDS = 50     # a line of more words is a chunk by itself
+MEAN_LINES = 4      # one line in so many starts a chunk
+LONG_WORDS = 50     # a line of more words is compared by itself
+SALTS = 16          # tasks that the occurrences of one passage are dealt to
+PLACE = [*KEY, "start", "end"]
 
 SPACE = r"[\x20\x09-\x0D]"
 LONG = rf"^{SPACE}*+(?:{WORD}+{SPACE}++){{{LONG_WORDS}}}{WORD}"
 
 
-def boundaries(lines: Column) -> Column:
-    """Index of the last line of each chunk, in order."""
-    hashes = F.transform(lines, lambda line: F.xxhash64(line))
-    rolled = hashes
-    for back in range(1, WINDOW):
-        earlier = F.slice(F.concat(F.array_repeat(F.lit(0).cast("long"), back), hashes), F.lit(1), F.size(lines))
-        rolled = F.zip_with(rolled, earlier, lambda here, there: F.xxhash64(here, there))
-    ends = F.transform(rolled, lambda h, i: F.when((F.pmod(h, F.lit(MEAN_LINES)) == 0) | (i == F.size(lines) - 1), i))
-    return F.filter(ends, lambda i: i.isNotNull())
-
-
 def chunked(rows: DataFrame, text: str, *keep: str) -> DataFrame:
-    """The columns `keep` and `_chunks`: (n, body) of each chunk in order."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    split = once(lines, "_lines", *keep, source=rows)
-    ended = once(boundaries(F.col("_lines")), "_ends", *keep, "_lines", source=split)
-    starts = F.concat(F.array(F.lit(0)), F.transform("_ends", lambda end: end + 1))
-    body = F.zip_with(F.slice(starts, F.lit(1), F.size("_ends")), "_ends", lambda start, end: F.struct(
-        (end - start + 1).alias("n"),
-        F.array_join(F.slice("_lines", start + 1, end - start + 1), "\n").alias("body")))
-    return once(body, "_chunks", *keep, source=ended)
-
-
-def repeated(docs: DataFrame, store: Store) -> DataFrame:
-    """KEY and `removed`: which chunks of a document occur earlier. Documents come by
-    doc_id, null first, then by the hash of their text."""
-    rows = keyed(docs, F.col("text").alias("_body"))
-    several = chunked(rows, "_body", *KEY).select(*KEY, F.posexplode("_chunks").alias("at", "chunk")).where(
-        (F.col("chunk.n") >= MIN_LINES) & F.col("chunk.body").rlike(r"[^\x20\x09-\x0D]"))
-    hashes = store.put(several.select(*KEY, "at", F.xxhash64("chunk.body").alias("h")), "chunk-hashes")
-    again = hashes.groupBy("h").count().where("count > 1").select("h")
-    suspects = hashes.join(again, "h", "left_semi").groupBy(*KEY).agg(F.collect_set("at").alias("ats"))
-    # Only suspects' bytes are compared: they are grouped by themselves. Texts are cut
-    # after the join, so they are moved once, and always by merging.
-    found = chunked(rows.join(suspects.hint("merge"), KEY), "_body", *KEY, "ats")
-    bodies = found.select(*KEY, F.explode("ats").alias("at"), "_chunks").select(
-        *KEY, "at", F.get("_chunks", F.col("at"))["body"].alias("body"))
-    bodies = store.put(bodies.withColumn("h", F.xxhash64("body")).distinct(), "chunk-bodies")
-    first = bodies.groupBy("h", "body").agg(F.min(F.struct(*KEY, "at")).alias("first"))
-    later = bodies.join(first.hint("merge"), ["h", "body"]).where(F.struct(*KEY, "at") > F.col("first"))
-    return later.groupBy(*KEY).agg(F.collect_set("at").alias("removed"))
-
-
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """`docs` with the text that is left, then n_lines, n_removed (lines) and
-    n_chunks_removed.
+    """The columns `keep` and `_chunks`: start, end, h and spans of each chunk.
 
-    The first occurrence of a chunk stays: smallest doc_id (null first), then
-    earliest. Chunks of one line, or of white space only, stay. Null text stays
-    null and has one empty line; a document may be left with an empty text. Other
-    columns are kept, but for any of the three added names; no rows give no rows.
+    Blank lines are looked through. A chunk starts where the hash of a line and the next
+    one says so, and goes on through the line that starts the next chunk, so any two
+    neighbouring lines lie in one chunk. Its spans (start, end, h) are those two lines,
+    if not both are long, and each long line by itself.
     """
-    store = Store(docs.sparkSession)
-    flags = store.put(repeated(docs, store), "removed-chunks")
-    none = F.array().cast("array<int>")
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    body = names[docs.columns.index("text")]
-    joined = keyed(docs, *carried(docs)).join(flags.hint("merge"), KEY, "left")
-    joined = joined.select(*names, F.coalesce("removed", none).alias("removed"))
-    joined = chunked(joined, body, *names, "removed")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "removed")
-    joined = once(left, "_left", *names, "_chunks", "removed", source=joined)
-
-    def lines(column):
-        return F.aggregate(column, F.lit(0).cast("long"), lambda total, i: total + F.get("_chunks", i)["n"])
-    text = F.array_join(F.transform("_left", lambda i: F.get("_chunks", i)["body"]), "\n")
-    text = F.when(F.size("removed") == 0, F.col(body)).otherwise(text)
-    kept = [(text if c == "text" else F.col(name)).alias(c) for c, name in zip(docs.columns, names)
-            if c not in ("n_lines", "n_removed", "n_chunks_removed")]
-    return joined.select(*kept, (lines("_left") + lines("removed")).alias("n_lines"), lines("removed").alias("n_removed"),
-                         F.size("removed").cast("long").alias("n_chunks_removed"))
-
-
-def windowed(rows: DataFrame, text: str, *keep: str) -> DataFrame:
-    """The columns `keep`, `_lines`, and `_spans`: (start, end, h) of every chunk of a
-    long line, or of two lines with only blank ones between, not both long. `h` hashes
-    the two."""
     split = once(F.split(F.coalesce(text, F.lit("")), "\n", -1), "_lines", *keep, source=rows)
-    marked = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(WORD), F.struct(
+    full = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(WORD), F.struct(
         i.alias("at"), F.xxhash64(line).alias("h"), line.rlike(LONG).alias("long")))), lambda line: line.isNotNull())
-    marked = once(marked, "_full", *keep, "_lines", source=split)
+    full = once(full, "_full", *keep, source=split)
     fewer = F.greatest(F.size("_full") - 1, F.lit(0))
 
     def span(a, b):
         return F.struct(a["at"].alias("start"), b["at"].alias("end"), F.xxhash64(a["h"], b["h"], b["at"] - a["at"]).alias("h"))
-    alone = F.transform(F.filter("_full", lambda a: a["long"]), lambda a: span(a, a))
-    pairs = F.zip_with(F.slice("_full", F.lit(1), fewer), F.slice("_full", F.lit(2), fewer),
-                       lambda a, b: F.when(~(a["long"] & b["long"]), span(a, b)))
-    spans = F.concat(alone, F.filter(pairs, lambda pair: pair.isNotNull()))
-    return once(spans, "_spans", *keep, "_lines", source=marked)
-
-
-def repeated_lines(docs: DataFrame, store: Store) -> DataFrame:
-    """KEY and `removed`: which lines of a document lie in chunks that occur earlier."""
-    rows = keyed(docs, F.col("text").alias("_body"))
-    place = [*KEY, "start", "end"]
-    hashes = windowed(rows, "_body", *KEY).select(*KEY, F.inline("_spans"))
-    hashes = store.put(hashes, "chunk-hashes")
-    again = hashes.groupBy("h").count().where("count > 1").select("h")
-    suspects = hashes.join(again, "h", "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("start", "end", "h")).alias("spans"))
-    # Only suspects' bytes are compared, and texts are cut after the join, by merging.
+    ahead = [F.slice("_full", F.lit(1), fewer), F.slice("_full", F.lit(2), fewer)]
+    rolled = F.zip_with(*ahead, lambda a, b: F.xxhash64(a["h"], b["h"]))
+    starts = F.filter(F.transform(rolled, lambda h, i: F.when((F.pmod(h, F.lit(MEAN_LINES)) == 0) | (i == 0), i)), lambda i: i.isNotNull())
+    only = F.when(F.size("_full") == 1, F.array(F.lit(0))).otherwise(starts)
+    pairs = F.zip_with(*ahead, lambda a, b: F.when(~(a["long"] & b["long"]), span(a, b)))
+    alone = F.transform("_full", lambda a: F.when(a["long"], span(a, a)))
+    ready = full.select(*keep, "_full", F.explode(F.array(F.struct(only.alias("starts"), pairs.alias("pairs"), alone.alias("alone")))).alias("_of"))
+
+    def chunk(start, k):
+        last = k + 1 == F.size("_of.starts")
+        end = F.when(last, F.size("_full") - 1).otherwise(F.get("_of.starts", k + 1))
+        inside = F.slice("_full", start + 1, end - start + 1)
+        spans = F.concat(F.slice("_of.pairs", start + 1, end - start), F.slice("_of.alone", start + 1, end - start + last.cast("int")))
+        first = F.get("_full", start)["at"]
+        return F.struct(first.alias("start"), F.get("_full", end)["at"].alias("end"),
+                        F.xxhash64(F.transform(inside, lambda line: F.struct(line["h"], line["at"] - first))).alias("h"),
+                        F.filter(spans, lambda one: one.isNotNull()).alias("spans"))
+    return once(F.transform("_of.starts", chunk), "_chunks", *keep, source=ready)
+
+
+def bodies(rows: DataFrame, spans: DataFrame, store: Store) -> DataFrame:
+    """`spans` (KEY, start, end, h) of `rows` (KEY, _body) with their bytes."""
+    suspects = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end", "h")).alias("spans"))
+    # Only suspects' texts are moved, and cut after the join, by merging.
     found = rows.join(suspects.hint("merge"), KEY)
     found = once(F.split("_body", "\n", -1), "_lines", *KEY, "spans", source=found)
 
@@ -133,17 +70,51 @@ def repeated_lines(docs: DataFrame, store: Store) -> DataFrame:
         one, two = F.get("_lines", span["start"]), F.get("_lines", span["end"])
         return (F.when(span["start"] == span["end"], one).when(span["start"] + 1 == span["end"], F.concat_ws("\n", one, two))
                 .otherwise(F.array_join(F.slice("_lines", span["start"] + 1, span["end"] - span["start"] + 1), "\n")))
-    bodies = F.transform("spans", lambda span: F.struct(span["start"].alias("start"), span["end"].alias("end"),
-                                                        span["h"].alias("h"), body(span).alias("body")))
-    bodies = store.put(found.select(*KEY, F.inline(bodies)), "chunk-bodies")
-    first = bodies.groupBy("h", "body").agg(F.min(F.struct(*place)).alias("first"))
-    later = bodies.join(first.hint("merge"), ["h", "body"]).where(F.struct(*place) > F.col("first"))
-    # A chunk that overlaps its own first occurrence leaves that one whole.
+    cut = F.transform("spans", lambda span: F.struct(span["start"].alias("start"), span["end"].alias("end"),
+                                                     span["h"].alias("h"), body(span).alias("body")))
+    return store.put(found.select(*KEY, F.inline(cut)), "bodies")
+
+
+def with_first(found: DataFrame, place: list[str]) -> DataFrame:
+    """PLACE of `found` (PLACE, h, body) and `first`, the smallest `place` of equal bytes.
+
+    Where all bytes of a hash are equal, as nearly always, the hash alone is joined, and
+    a passage that is everywhere is dealt to SALTS tasks.
+    """
+    per = found.groupBy("h").agg((F.min("body") == F.max("body")).alias("one"), F.min(F.struct(*place)).alias("first"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = found.select(*PLACE, "h", F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int").alias("salt"))
+    same = salted.join(per.where("one").select("h", "first", salts.alias("salt")), ["h", "salt"])
+    several = found.join(per.where("NOT one").select("h"), "h", "left_semi")
+    first = several.groupBy("h", "body").agg(F.min(F.struct(*place)).alias("first"))
+    return same.select(*PLACE, "first").union(several.join(first, ["h", "body"]).select(*PLACE, "first"))
+
+
+def repeated_lines(docs: DataFrame, store: Store) -> DataFrame:
+    """KEY and `removed`: which lines of a document lie in what occurs earlier.
+
+    Chunks that an earlier document has too go whole, so that copies leave here. All
+    that is left is looked at two lines at a time, which grows each match to its edges.
+    """
+    rows = keyed(docs, F.col("text").alias("_body"))
+    chunks = chunked(rows, "_body", *KEY).select(*KEY, F.inline("_chunks"))
+    chunks = store.put(chunks.where((F.col("start") < F.col("end")) | (F.size("spans") > 0)), "chunks")  # a short line alone stays
+    doc = F.struct(*KEY)
+    again = chunks.groupBy("h").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo < hi").select("h")
+    found = bodies(rows, chunks.join(again, "h", "left_semi").select(*PLACE, "h"), store)
+    whole = store.put(with_first(found, KEY).where(doc > F.col("first")).select(*PLACE), "repeated-chunks")
+    rest = chunks.join(whole, PLACE, "left_anti").select(*KEY, F.inline("spans"))
+    rest = store.put(rest, "spans")
+    again = rest.groupBy("h").count().where("count > 1").select("h")
+    found = bodies(rows, rest.join(again, "h", "left_semi"), store)
+    later = with_first(found, PLACE).where(F.struct(*PLACE) > F.col("first"))
+    # What overlaps its own first occurrence leaves that one whole.
     own = (F.col("first._id") == F.col("_id")) & (F.col("first._text") == F.col("_text"))
     begin = F.when(own, F.greatest("start", F.col("first.end") + 1)).otherwise(F.col("start"))
     later = later.select(*KEY, begin.alias("begin"), "end").where("begin <= end")
-    later = later.select(*KEY, F.explode(F.sequence("begin", "end")).alias("at"))
-    return later.groupBy(*KEY).agg(F.collect_set("at").alias("removed"))
+    gone = whole.select(*KEY, F.col("start").alias("begin"), "end").union(later)
+    gone = gone.select(*KEY, F.explode(F.sequence("begin", "end")).alias("at"))
+    return gone.groupBy(*KEY).agg(F.collect_set("at").alias("removed"))
 
 
 def passage_dedup(docs: DataFrame) -> DataFrame:

@@ -1,95 +1,41 @@
 import random
-
-import xxhash
+from collections import Counter
 
 from hearthlog.llm import lines
-
-
-def h64(data, seed=42):
-    return xxhash.xxh64_intdigest(data, seed)
-
-
-def signed(n):
-    return n - 2 ** 64 if n >= 2 ** 63 else n
-
-
-def two(a, b):
-    """Spark's hash of two longs: the first one's hash seeds the second's."""
-    first = h64((a % 2 ** 64).to_bytes(8, "little"))
-    return signed(h64((b % 2 ** 64).to_bytes(8, "little"), first)), first
-
-
-def chunks(text):
-    rows = (text or "").split("\n")
-    hashes = [signed(h64(r.encode())) for r in rows]
-    out, start = [], 0
-    for i, h in enumerate(hashes):
-        # xxhash64(here, there): `here` is hashed first and its hash is the seed.
-        rolled, _ = two(h, hashes[i - 1] if i else 0)
-        if rolled % lines.MEAN_LINES == 0 or i == len(rows) - 1:
-            out.append(rows[start:i + 1])
-            start = i + 1
-    return out
-
-
-def brute(rows):
-    seen, out = set(), {}
-    for doc, text in sorted(rows, key=lambda r: r[0]):
-        left, removed = [], 0
-        for chunk in chunks(text):
-            body = "\n".join(chunk)
-            if len(chunk) >= lines.MIN_LINES and body.strip(" \t\n\r\v\f"):
-                if body in seen:
-                    removed += len(chunk)
-                    continue
-                seen.add(body)
-            left.extend(chunk)
-        out[doc] = ("\n".join(left) if text is not None else None, removed)
-    return out
-
-
-def corpus():
-    rng = random.Random(3)
-    passage = [f"shared line number {i} of the passage" for i in range(40)]
-    rows = []
-    for doc in range(60):
-        own = [f"own {doc} {i} {rng.random()}" for i in range(rng.randrange(30))]
-        if doc % 3 == 0:
-            at, cut = rng.randrange(len(own) + 1), rng.randrange(5)
-            own[at:at] = passage[cut:]
-        rows.append((doc, "\n".join(own)))
-    rows += [(100, rows[3][1]), (101, rows[3][1]), (102, None), (103, ""), (104, "\n\n\n \n\t\n" * 3), (105, "\n\n\n \n\t\n" * 3),
-             (106, "same\n" * 3000), (107, "same\n" * 3000), (108, "\n".join(f"long {i}" for i in range(20000)))]
-    return rows
-
-
-def test_equals_brute_force(documents):
-    rows = corpus()
-    got = lines.line_dedup(documents(rows).repartition(5)).collect()
-    want = brute(rows)
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r["text"], r["n_removed"]) == want[r["doc_id"]], r["doc_id"]
-        assert r["n_lines"] == (dict(rows)[r["doc_id"]] or "").count("\n") + 1
-    assert sum(r["n_removed"] for r in got) > 500
-
-
-def test_edges_do_not_shift_with_what_comes_before():
-    body = "\n".join(f"line {i}" for i in range(60))
-    alone, below = chunks(body), chunks("new first line\nand another\n" + body)
-    assert len(set(map(tuple, alone)) & set(map(tuple, below))) >= len(alone) - 2
-
-
-def test_clashing_columns_null_ids_and_repeated_rows(spark):
-    text = "\n".join(f"line {i}" for i in range(30))
-    rows = [(None, text, "a", 1), (None, text, "a", 1), (5, text, "b", 2), (6, None, "c", 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, removed int")
-    got = {(r["doc_id"], r["removed"]): r for r in lines.line_dedup(docs).collect()}
-    assert got[None, 1]["n_removed"] == 0 and got[None, 1]["text"] == text
-    assert got[5, 2]["n_removed"] > 20 and got[5, 2]["_row"] == "b"
-    assert got[6, 3]["text"] is None
-    assert lines.line_dedup(docs).count() == 4
-
-
-def test_no_rows(documents):
-    assert lines.line_dedup(documents([(1, "a")]).where("false")).count() == 0
+from hearthlog.llm.common import KEY, keyed
+from pyspark.sql import functions as F
+
+
+def chunks(docs):
+    rows = lines.chunked(keyed(docs, "doc_id", F.col("text").alias("_body")), "_body", "doc_id")
+    return rows.select("doc_id", F.inline("_chunks")).collect()
+
+
+def test_chunks_cover_every_two_neighbours_once(documents):
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choice(["", " ", "word " * 60, f"line {rng.randrange(30)}"]) for _ in range(rng.randrange(60))) for _ in range(40)]
+    found = chunks(documents(list(enumerate(texts + ["", "one", "word " * 60]))))
+    for doc, text in enumerate(texts):
+        full = [i for i, line in enumerate(text.split("\n")) if line.strip()]
+        mine = sorted((r["start"], r["end"], r["spans"]) for r in found if r["doc_id"] == doc)
+        assert not full[1:] or (mine[0][0], mine[-1][1]) == (full[0], full[-1])
+        assert all(a[1] == b[0] for a, b in zip(mine, mine[1:])) and all(a < b for a, b, _ in mine if full[1:])
+        long = {i for i in full if len(text.split("\n")[i].split()) > lines.LONG_WORDS}
+        want = Counter([(a, b) for a, b in zip(full, full[1:]) if not {a, b} <= long] + [(i, i) for i in long])
+        assert Counter((s["start"], s["end"]) for _, _, spans in mine for s in spans) == want
+    assert [len(r["spans"]) for r in found if r["doc_id"] >= len(texts)] == [0, 1]
+
+
+def test_inserted_lines_do_not_shift_the_chunks_below(documents):
+    body = [f"line {i} {i * 7919 % 100}" for i in range(200)]
+    found = chunks(documents([(1, "\n".join(body)), (2, "\n".join(["x", "y", "z", *body])), (3, "\n".join([*body[:90], "new", *body[90:]]))]))
+    hashes = {doc: {r["h"] for r in found if r["doc_id"] == doc} for doc in (1, 2, 3)}
+    assert 20 < len(hashes[1]) < 90
+    assert len(hashes[1] - hashes[2]) <= 1 and len(hashes[1] - hashes[3]) <= 2
+
+
+def test_equal_hashes_of_different_bytes_are_told_apart(spark):
+    rows = [(i, 0, 0, 1, 7, body) for i, body in enumerate(["a", "b", "a", "b", "c"])] + [(9, 0, 0, 1, 8, "d"), (10, 0, 0, 1, 8, "d")]
+    found = spark.createDataFrame(rows, "_id long, _text long, start int, end int, h long, body string")
+    got = {r["_id"]: r["first"]["_id"] for r in lines.with_first(found, KEY).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 4, 9: 9, 10: 9}
