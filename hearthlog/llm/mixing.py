@@ -1,15 +1,18 @@
 """Sources mixed to target weights by counting documents of each exact length.
 
 Each source takes all of its documents a whole number of times and fills what is
-left of its target from a histogram of lengths: a share of every length first, then
-a bounded knapsack over the lengths for the remainder. Which documents of a length
+left of its target from a histogram of lengths: of a large rest a share of every length
+first, then a bounded knapsack over all that is left. Which documents of a length
 are taken is decided by a seeded hash, so the documents themselves never meet.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,54 +22,82 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5         # of all words, for the whole mix
 MOST = 2.0          # times a source's own words, at most
 SEED = 17
-MAX_SOURCES = 1_000_000
-
-
-def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
-    """Words each source is to give: shares of the total by weight, what exceeds
-    `most` times a source's size shared again among those below, until none is above."""
-    out, rest, open_ = [0.0] * len(sizes), share * sum(sizes), [i for i, size in enumerate(sizes) if size > 0]
-    while open_:
-        unit = rest / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
-            break
-        for i in full:
-            out[i] = most * sizes[i]
-            rest -= out[i]
-        open_ = [i for i in open_ if out[i] == 0.0]
-        if rest <= 0:
+HELD = 1 << 16      # words of a budget that the knapsack decides about, at least
+RANGES = 64         # of sources, numbered apart
+
+
+def placed(sources: DataFrame, store: Store) -> DataFrame:
+    """`sources` (source, ...) with their `place` from 0 by code point, null last.
+
+    Ranges of sources are numbered apart, each after the counts of those before it.
+    """
+    # UTF-8 order is code point order.
+    order = [F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source")]
+    keys = ["_null", "_source"]
+    parted = sources.select("*", *order).repartitionByRange(RANGES, *keys).withColumn("_part", F.spark_partition_id())
+    parted = store.put(parted, "sources")
+    first = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parted.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(first), F.lit(0)).alias("_first"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
+    return parted.withColumn("_n", nth).join(parts, "_part").withColumn("place", F.col("_first") + F.col("_n")).drop("_part", "_first", "_n", *keys)
+
+
+def targets(sources: DataFrame, weights: tuple[float, ...], share: float = SHARE, most: float = MOST) -> DataFrame:
+    """`sources` (source, source_size, place) with the words each is to give: shares of
+    all words by weight, what exceeds `most` times a source's words shared again among
+    those below, until none is above. A source of no words has target 0.
+
+    As sources are filled, the words of one weight can only grow, so the sources that
+    are full at a level stay so; a few sums over all of them find the next level.
+    """
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = sources.withColumn("_weight", weight)
+
+    def full(level: float):
+        return F.lit(level) * F.col("_weight") >= F.lit(float(most)) * F.col("source_size")
+    level, filled = 0.0, -1
+    while True:
+        some = F.col("source_size") > 0
+        now = sources.agg(F.sum("source_size").alias("all"), F.sum(F.when(full(level) & some, F.col("source_size"))).alias("full"),
+                          F.count(F.when(full(level) & some, 1)).alias("n"), F.sum(F.when(~full(level) & some, F.col("_weight"))).alias("open")).first()
+        rest = share * (now["all"] or 0) - most * (now["full"] or 0)
+        if now["n"] == filled or not now["open"] or rest <= 0:
             break
-    return out
+        level, filled = rest / now["open"], now["n"]
+    unit = level if rest > 0 else 0.0
+    target = F.when(F.col("source_size") <= 0, 0.0).when(full(level), F.col("source_size") * F.lit(float(most))).otherwise(F.col("_weight") * F.lit(unit))
+    return sources.withColumn("target", target).drop("_weight")
 
 
-def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+def fit(lengths: list[int], counts: list[int], budget: int, seed: int = SEED) -> list[int]:
     """How many documents of each length to take, so that their words come as near
-    to `budget` as can be without exceeding it after a fair share of every length.
+    to `budget` as can be without exceeding it.
 
-    Twice the longest length is held back from the share, which is rounded down;
-    lengths are then rounded up in a scattered order until no more than that is left,
-    over which a bitset holds every sum the documents left can make.
+    Of a large budget all but HELD words (or twice the longest length) are taken as a
+    fair share of every length, rounded up in a scattered order as far as that goes.
+    What is left is a bounded knapsack over all documents left: a bitset holds every
+    sum that those looked at so far can make, in the same order, which has nothing to
+    do with the lengths themselves.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
-    back = 2 * max(lengths)
+    back = max(HELD, 2 * max(lengths))
     part = max(0, budget - back)
     take = [c * part // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, take))
-    order = sorted(range(len(lengths)), key=lambda i: (-(counts[i] * part % total), lengths[i]))
+    order = sorted(range(len(lengths)), key=lambda i: xxhash.xxh64_intdigest(lengths[i].to_bytes(8, "little"), seed))
     for i in order:
         if take[i] < counts[i] and 0 < lengths[i] <= left - back:
             take[i] += 1
             left -= lengths[i]
+    step = math.gcd(*(n for n, c, t in zip(lengths, counts, take) if c > t))
+    goal = left - left % step if step else 0
     # Every sum up to what is left, one bit each; copies by doubling.
     reach, steps, mask = 1, [], (1 << (left + 1)) - 1
     for i in order:
         spare, size = counts[i] - take[i], 1
-        while spare > 0 and 0 < lengths[i] * size <= left and not reach >> left & 1:
+        while spare > 0 and 0 < lengths[i] * size <= left and not reach >> goal & 1:
             size = min(size, spare)
             grown = (reach | reach << lengths[i] * size) & mask
             if grown != reach:
@@ -101,20 +132,14 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     Sizes are words of the whole text, none for null. Sources come by code point,
     null last, a source of its own; weights repeat over them. A source of no words
     has target 0. Equal rows are separate documents, numbered apart. No rows give no
-    rows. One row per source reaches the driver, MAX_SOURCES at most; a source's
-    histogram has at most a row per distinct length.
+    rows. The driver sees sums over all sources; a source's histogram has at most a
+    row per distinct length.
     """
     store = Store(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = store.put(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).take(MAX_SOURCES + 1)
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    # UTF-8 order is code point order.
-    per.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    goal = targets([r["source_size"] for r in per], [weights[i % len(weights)] for i in range(len(per))], share, most)
-    goals = docs.sparkSession.createDataFrame(
-        [(r["source"], r["source_size"], t) for r, t in zip(per, goal)], "source string, source_size long, target double")
+    per = placed(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), store)
+    goals = store.put(targets(store.put(per, "places"), weights, share, most).drop("place"), "targets")
     histogram = sizes.groupBy("source", "size").agg(F.count("*").alias("n"))
     histogram = histogram.join(goals, histogram["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     plan = store.put(histogram.groupBy("source").applyInPandas(fitted, FITTED), "mix-plan")

@@ -3,33 +3,80 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from hearthlog.llm import mixing
-
-
-def test_targets_stop_at_twice_a_source_and_reshare():
-    assert mixing.targets([100, 100, 100], [3, 1, 2]) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.targets([10, 1000, 10], [3, 1, 2]) == pytest.approx([20, 1490, 20])
-    assert mixing.targets([0, 0], [3, 1]) == [0, 0] and mixing.targets([], []) == []
-    assert mixing.targets([0, 8], [3, 1]) == [0, 12]
-    assert mixing.targets([5, 5], [1, 1], share=3) == [10, 10]
-
-
-def test_fit_meets_a_budget_some_subset_meets():
+from hearthlog.llm.common import Store
+
+
+def level(sizes, weights, share=1.5, most=2.0):
+    """Targets by refilling one round at a time."""
+    out, rest, open_ = [0.0] * len(sizes), share * sum(sizes), [i for i, n in enumerate(sizes) if n]
+    while open_ and rest > 0:
+        unit = rest / sum(weights[i % len(weights)] for i in open_)
+        full = [i for i in open_ if unit * weights[i % len(weights)] >= most * sizes[i]]
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else unit * weights[i % len(weights)]
+        rest -= sum(out[i] for i in full)
+        open_ = [i for i in open_ if i not in full] if full else []
+    return out
+
+
+def test_targets_stop_at_twice_a_source_and_reshare(spark):
+    def found(sizes, weights, **more):
+        rows = spark.createDataFrame([(f"s{i:03}", n, i) for i, n in enumerate(sizes)], "source string, source_size long, place long")
+        return [r["target"] for r in mixing.targets(rows, weights, **more).orderBy("source").collect()]
+    assert level([100, 100, 100], [3, 1, 2]) == pytest.approx([200, 250 / 3, 500 / 3])
+    rng = random.Random(2)
+    cases = [([100, 100, 100], (3, 1, 2)), ([10, 1000, 10], (3, 1, 2)), ([0, 0], (3, 1)), ([], (3, 1)), ([0, 8], (3, 1)),
+             ([rng.choice([0, 1, 5, 50, 5000]) for _ in range(60)], (3, 1, 2))]
+    for sizes, weights in cases:
+        assert found(sizes, weights) == pytest.approx(level(sizes, weights)), sizes
+    assert found([5, 5], (1, 1), share=3.0) == [10, 10]
+
+
+def test_sources_are_numbered_by_code_point_null_last(spark):
+    names = ["b", "a", "", "\U0001F600", "\uffff", "Z", "é", None, *(f"n{i}" for i in range(300))]
+    rows = spark.createDataFrame([(n,) for n in names], "source string").repartition(5)
+    got = [r["source"] for r in mixing.placed(rows, Store(spark)).orderBy("place").collect()]
+    assert got == sorted(names[:7] + names[8:], key=str.encode) + [None]
+
+
+def test_fit_meets_the_best_a_subset_can():
     rng = random.Random(1)
-    for _ in range(200):
+    for k in range(300):
         lengths = sorted(rng.sample(range(0, 30), 5))
         counts = [rng.randrange(1, 5) for _ in lengths]
         budget = rng.randrange(sum(n * c for n, c in zip(lengths, counts)) + 3)
+        mixing.HELD = 1 << 16 if k % 2 else 4
         take = mixing.fit(lengths, counts, budget)
+        mixing.HELD = 1 << 16
         assert all(0 <= t <= c for t, c in zip(take, counts))
         got = sum(n * t for n, t in zip(lengths, take))
-        assert got <= budget
-        base = [c * budget // max(1, sum(n * c for n, c in zip(lengths, counts))) for c in counts]
         sums = {sum(n * t for n, t in zip(lengths, pick)) for pick in itertools.product(*(range(c + 1) for c in counts))}
         best = max(s for s in sums if s <= budget)
-        assert budget - got <= max(lengths) and (best - got <= max(lengths)), (base, got, best)
+        assert got == best if k % 2 else best - 2 * max(lengths) <= got <= best
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_every_source_takes_the_best_a_subset_can(sf):
+    """All subsets' sums by a bitset over every document, against what `fit` takes."""
+    sizes = defaultdict(list)
+    for text, source in duckdb.sql(f"SELECT text, source FROM '/root/testdata/{sf}/documents.parquet'").fetchall():
+        sizes[source].append(len(re.findall(r"[^\x20\x09-\x0D]+", text or "")))
+    for source, each in sizes.items():
+        words, count = sum(each), Counter(each)
+        for share in (0.999, 0.7, 0.31):
+            budget, reach = int(words * share), 1
+            for n in each:
+                reach |= reach << n
+                if reach >> budget & 1:
+                    break
+            best = (reach & ((1 << budget + 1) - 1)).bit_length() - 1
+            lengths = sorted(count)
+            take = mixing.fit(lengths, [count[n] for n in lengths], budget)
+            assert sum(n * t for n, t in zip(lengths, take)) == best, (source, share)
 
 
 def test_fit_is_exact_when_small_lengths_are_plenty():
@@ -50,12 +97,12 @@ def check(rows, got):
     for (_, _, source), size in zip(rows, sizes):
         per[source] += size
     names = sorted(per, key=lambda s: (s is None, s or ""))
-    goal = dict(zip(names, mixing.targets([per[n] for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])))
+    goal = dict(zip(names, level([per[n] for n in names], mixing.WEIGHTS)))
     taken = defaultdict(int)
     by = {r[0]: (size, r[2]) for r, size in zip(rows, sizes)}
     for r in got:
         size, source = by[r["doc_id"]]
-        assert (r["size"], r["source_size"], r["target"]) == (size, per[source], goal[source])
+        assert (r["size"], r["source_size"]) == (size, per[source]) and r["target"] == pytest.approx(goal[source])
         assert 0 <= r["taken"] <= 2 * size and (size == 0 or r["taken"] % size == 0)
         taken[source] += r["taken"]
     return taken, goal
