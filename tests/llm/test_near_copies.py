@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from hearthlog.llm import simhash
+from hearthlog.llm import near, simhash
 
 
 def grams(text):
@@ -39,7 +41,7 @@ def test_only_texts_of_enough_shared_shingles_are_linked_and_nearly_all_of_them(
     for _ in rows:
         for a, b in pairs:
             true[a] = true[b] = min(true[a], true[b])
-    found = simhash.near_copies(documents(rows).repartition(5), **corpus_pipeline.NEAR).collect()
+    found = near.near_copies(documents(rows).repartition(5), **corpus_pipeline.NEAR).collect()
     root = {r["doc_id"]: r["root"] for r in found}
     # No text is linked to one that no chain of similar texts leads to.
     assert len({(root[i], true[i]) for i in root}) == len(set(root.values()))
@@ -57,10 +59,62 @@ def test_only_texts_of_enough_shared_shingles_are_linked_and_nearly_all_of_them(
 
 def test_large_groups_are_cut_without_loss(documents):
     rows = corpus()
-    near = dict(corpus_pipeline.NEAR)
-    whole, cut = (simhash.near_copies(documents(rows), **near, group=group).groupBy("root").count() for group in (8192, 16))
+    whole, cut = (near.near_copies(documents(rows), **corpus_pipeline.NEAR, group=group).groupBy("root").count() for group in (8192, 16))
     assert sorted(r["count"] for r in whole.collect()) == sorted(r["count"] for r in cut.collect())
 
 
+def test_two_families_joined_by_few_pairs_are_one_component(documents):
+    """Nearly all pairs across the families are too far apart in words; no cap may hide the few that are not."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(300)]
+
+    def family(start, n):
+        out = []
+        for _ in range(n):
+            copy = list(start)
+            for at in rng.sample(range(300), 1):
+                copy[at] = f"n{rng.random()}"
+            out.append(copy)
+        return out
+    other = list(base)
+    for at in range(7, 300, 29):
+        other[at] = f"o{at}"
+    bridge = list(base)
+    for at in range(7, 150, 29):
+        bridge[at] = f"o{at}"
+    rows = list(enumerate(" ".join(ws) for ws in family(base, 60) + family(other, 60) + [bridge]))
+    sets = [grams(text) for _, text in rows]
+    across = [(a, b) for a in range(60) for b in range(60, 120) if alike(sets[a], sets[b]) >= 0.8]
+    found = near.near_copies(documents(rows).repartition(3), 14, 5, 0.8, ask=2).collect()
+    assert not across and len({r["root"] for r in found}) == 1
+    found = near.near_copies(documents(rows[:120]).repartition(3), 14, 5, 0.8, ask=2).collect()
+    assert len({r["root"] for r in found}) == 2
+
+
+def test_shortest_forest_and_nearest_outside():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n = int(rng.integers(1, 40))
+        fps = rng.integers(0, 1 << 10, n).astype(np.uint64)
+        node = rng.permutation(1000)[:n]
+        radius = int(rng.integers(0, 5))
+        a, b = near.forest(node, fps, radius)
+        place = {int(x): i for i, x in enumerate(node)}
+        apart = [[(int(x) ^ int(y)).bit_count() for y in fps] for x in fps]
+        label, cost = list(range(n)), 0
+        for d, i, j in sorted((apart[i][j], i, j) for i in range(n) for j in range(i) if apart[i][j] <= radius):
+            if label[i] != label[j]:
+                label, cost = [label[i] if x == label[j] else x for x in label], cost + d
+        assert sum(apart[place[int(x)]][place[int(y)]] for x, y in zip(a, b)) == cost and len(a) == n - len(set(label))
+        root = rng.integers(0, 3, n)
+        at, other, cut = near.nearest_outside(node, fps, root, radius, 2)
+        want, more = set(), False
+        for i in range(n):
+            out = sorted((apart[i][j], j) for j in range(n) if root[i] != root[j] and apart[i][j] <= radius)
+            more |= len(out) > 2
+            want |= {(int(node[i]), int(node[j])) for _, j in out[:2]}
+        assert set(zip(at.tolist(), other.tolist())) == want and cut == more
+
+
 def test_no_rows(documents):
     assert corpus_pipeline.near_dedup(documents([(1, "a")]).sparkSession, documents([(1, "a")]).where("false"), None).count() == 0

@@ -1,7 +1,10 @@
 from collections import Counter
 
 import corpus_pipeline
-from hearthlog.llm import lines, mixing, quality, simhash
+import numpy as np
+import xxhash
+
+from hearthlog.llm import lines, mixing, near, quality
 from hearthlog.llm.common import Store
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,26 +22,30 @@ def test_every_stage_works_on_all_the_last_one_kept(spark):
     for name, stage in corpus_pipeline.STAGES:
         done[name] = docs = store.put(stage(spark, docs, FOLDER), name.replace(" ", "-"))
     whole = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
-    model = quality.fit_from(spark.read.parquet(f"{FOLDER}/documents.parquet"), labels)
+    raw = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    common = quality.common_lines(raw, store)
+    model = quality.fit_from(raw, labels, common)
+    places = {r["_id"]: r["common"] for r in common.collect()}
     kept = []
     for r in whole:
-        n, _, _, _, repeat, content = quality.measures((r["text"] or "").encode(), model)
-        if not (n < 10 or 100 * repeat > 20 * n) and content >= 0.5 * n:
+        n, _, _, _, repeat, content = quality.measures((r["text"] or "").encode(), model, places.get(r["doc_id"], []))
+        if not (n < 10 or 100 * repeat > 20 * n) and content >= quality.SHARE * n:
             kept.append(tuple(r))
     assert rows(done["quality rules"]) == Counter(kept)
     assert done["line dedup"].count() == len(kept)
     after = {r["doc_id"]: r for r in done["line dedup"].collect()}
     assert all(r["n_chars"] == len(r["text"]) for r in after.values())
-    # One document of each component: the smallest id.
-    fps = {d: simhash.fingerprint(r["text"].encode()) for d, r in after.items()}
+    # One document of each component of pairs near in bits and in words: the smallest id.
+    seen = {d: (np.array([xxhash.xxh64_intdigest(w, 42) for w in r["text"].encode().lower().split()], np.uint64),
+                r["text"].lower().split()) for d, r in after.items()}
+    fps = {d: near.fingerprint(hashes) for d, (hashes, _) in seen.items()}
+    sets = {d: {tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set() for d, (_, ws) in seen.items()}
+    pairs = [(a, b) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) % 2 ** 64).bit_count() <= corpus_pipeline.NEAR["radius"]
+             and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
     root = {d: d for d in fps}
-    changed = True
-    while changed:
-        changed = False
-        for a in fps:
-            for b in fps:
-                if ((fps[a] ^ fps[b]) % 2 ** 64).bit_count() <= 3 and root[b] > root[a]:
-                    root[b], changed = root[a], True
+    for _ in fps:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
     assert {r["doc_id"] for r in done["near dedup"].collect()} == {d for d in root if root[d] == d}
     taken = {r["doc_id"]: r["times"] for r in mixing.mixed(done["near dedup"]).collect()}
     assert Counter(r["doc_id"] for r in done["mix sources"].collect()) == Counter({d: n for d, n in taken.items() if n})
@@ -55,5 +62,5 @@ def test_empty_and_repeated_rows(spark):
         for _, stage in corpus_pipeline.STAGES[1:]:
             out = stage(spark, out, FOLDER)
         out.collect()
-    assert lines.line_dedup(docs).count() == 4
+    assert lines.passage_dedup(docs).count() == 4
     assert corpus_pipeline.near_dedup(spark, docs, FOLDER).count() == 2
