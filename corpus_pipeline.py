@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hearthlog.llm import lines, mixing, packing, quality, simhash
+from hearthlog.llm import lines, mixing, near, packing, quality
 from hearthlog.llm.common import KEY, Store, keyed, table
 
 # Near copies share shingles of five words; fingerprints within so many bits propose them.
-NEAR = {"radius": 11, "words": 5, "similarity": 0.8, "most": 8}
+NEAR = {"radius": 11, "words": 5, "similarity": 0.8}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -17,8 +17,7 @@ def quality_rules(spark, docs, sf_dir):
     """Documents that the rules and the line labels keep; the labeller is fitted on
     a bounded sample of the labelled documents that are there."""
     docs = docs.select(*COLUMNS)
-    model = quality.fit_from(docs, table(spark, sf_dir, "labels"))
-    return quality.judged(docs, model).where("kept").select("_row.*")
+    return quality.rated(docs, table(spark, sf_dir, "labels")).where("kept").select("_row.*")
 
 
 def line_dedup(spark, docs, sf_dir):
@@ -32,7 +31,7 @@ def near_dedup(spark, docs, sf_dir):
     """Of each component of near copies the document with the smallest doc_id; of
     equal rows any one. Null doc_ids count as the smallest."""
     docs = docs.select(*COLUMNS)
-    found = simhash.near_copies(docs, **NEAR)
+    found = near.near_copies(docs, **NEAR)
     best = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")).select(
         F.coalesce("best.doc_id", F.lit(-2 ** 63).cast("long")).alias("_id"), F.col("best.text_hash").alias("_text"))
     best = Store(spark).put(best, "kept")
