@@ -24,7 +24,6 @@ SEED = 7
 KNOWN = 1 << 18     # words whose hashes a task remembers
 
 # A word is a run of ASCII letters and digits and of anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -70,16 +69,22 @@ def fingerprints(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def kept_runs(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """KEY, size, at and h of the kept runs of `rows` (KEY, text) for windows of each size."""
+    """KEY, size, at and h of the kept runs of `rows` (KEY, text) for windows of each
+    size; and for each row one of size 0 that has its number of words as `at`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
+            own = batch.column(1).to_pylist()
             out = {name: [np.empty(0, np.int64)] for name in ("row", "size", "at", "h")}
             for row, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 hashes = known.of(words(text))
+                # The hash only spreads these rows: no item has a window of no words.
+                found = [(np.array([0]), np.array([len(hashes)]), np.array([own[row]]))]
                 for size in sizes:
                     at, h = fingerprints(hashes, size)
-                    for name, part in zip(out, (np.full(len(at), row), np.full(len(at), size), at, h)):
+                    found.append((np.full(len(at), size), at, h))
+                for parts in found:
+                    for name, part in zip(out, (np.full(len(parts[0]), row), *parts)):
                         out[name].append(part)
             whole = {name: pa.array(np.concatenate(parts)) for name, parts in out.items()}
             yield pa.RecordBatch.from_arrays([batch.column(0).take(whole["row"]), batch.column(1).take(whole["row"]),
@@ -154,9 +159,13 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WORDS) -> DataFr
     # A window of n words keeps one run, the same as wherever it occurs.
     kept = store.put(kept.join(texts.select("w", "size"), (F.col("_id") == F.col("w")) & (kept["size"] == texts["size"]), "left_semi")
                      .select(kept["size"], "h").distinct(), "item-runs")
-    hits = kept_runs(rows, sizes).join(kept, ["size", "h"], "left_semi")
-    hits = hits.groupBy(*KEY).agg(F.collect_set(F.struct("size", "at")).alias("hits"))
-    around = windows_around(rows.join(hits.hint("merge"), KEY).select(*KEY, "text", "hits"))
+    met = kept_runs(rows, sizes).join(kept.withColumn("met", F.lit(True)), ["size", "h"], "left").where("met OR size = 0")
+    counted = store.put(met.groupBy(*KEY).agg(
+        F.max(F.when(F.col("size") == 0, F.col("at"))).alias("n_words"),
+        F.collect_set(F.when(F.col("size") > 0, F.struct("size", "at"))).alias("hits")), "words")
+    # Written first, so that Spark knows its size and moves texts only if it is large.
+    hits = store.put(counted.where(F.size("hits") > 0).select(*KEY, "hits"), "met-runs")
+    around = windows_around(rows.join(hits, KEY).select(*KEY, "text", "hits"))
     found = around.join(texts.select("window", "w"), "window").groupBy(*KEY).agg(
         F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"), F.sort_array(F.collect_set("w")).alias("ws"))
     found = store.put(found.select(*KEY, covered(F.col("spans")).alias("n_hit"), "ws"), "hits")
@@ -164,8 +173,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WORDS) -> DataFr
     lists = found.select("ws").distinct().select("ws", F.explode("ws").alias("w")).join(items_of, "w")
     lists = lists.groupBy("ws").agg(F.sort_array(F.collect_set("item")).alias("items"))
     found = found.join(lists, "ws").select(*KEY, "n_hit", "items")
-    counted = keyed(docs, "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = counted.join(found, KEY, "left")
+    out = keyed(docs, "doc_id").join(counted.select(*KEY, "n_words"), KEY).join(found, KEY, "left")
     n_hit, none = F.coalesce("n_hit", F.lit(0).cast("long")), F.array().cast("array<string>")
     listed = F.coalesce("items", none)
     return out.select("doc_id", F.col("_text").alias("text_hash"), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
