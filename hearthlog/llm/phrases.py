@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from hearthlog.llm.common import Store, table
 
 LONGEST = 4         # words of a phrase; chunks overlap by one less
-EVERY = 16          # one run of words in so many ends a chunk
+EVERY = 32          # one run of words in so many ends a chunk
 LEAST = 30          # occurrences of a phrase
 COVERED = 80        # per cent of a phrase's occurrences that lie in one longer phrase
 TOP = 2000
 SCALE = 2_000_000
 SEED = 12
-AT_ONCE = 1 << 19   # words counted together in a task
-FILTER = 1 << 27    # bits of the filter of frequent pairs, whatever their number
+BYTES_AT_ONCE = 1 << 22     # of text, taken together in a task
+FILTER = 1 << 26    # bits of a filter of frequent words or pairs, whatever their number
 KNOWN = 1 << 18     # words whose hashes a task remembers
 
 # What ends a piece, and what separates words.
@@ -78,110 +78,97 @@ def chunk_edges(hashes: np.ndarray, sizes: np.ndarray, every: int = EVERY) -> tu
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """lang, chunk (its words, a space between), last (its piece ends there) of all of `docs` (lang, text)."""
+    """lang, chunk (its words, a space between), last (its piece ends there), n of all of
+    `docs` (lang, text); and, with no `last`, each word with the number of times it is
+    there: one row per word and batch, to be summed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
-            words, sizes, owner = [], [], []
-            for row, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                for piece in (text or b"").translate(LOWER).split(b"\n"):
-                    found = piece.split()
-                    if found:
-                        words += found
-                        sizes.append(len(found))
-                        owner.append(row)
-                if len(words) >= AT_ONCE or row + 1 == batch.num_rows:
-                    if words:
-                        yield parsed(batch.column(0), words, np.array(sizes), np.array(owner), known)
-                    words, sizes, owner = [], [], []
-    return docs.select("lang", "text").mapInArrow(run, "lang string, chunk string, last boolean")
-
-
-def parsed(lang: pa.Array, words: list[bytes], sizes: np.ndarray, owner: np.ndarray, known: Hashes) -> pa.RecordBatch:
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    start, end, last = chunk_edges(hashes, sizes)
-    at = spans(start, end)
+            sizes = np.cumsum([len(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            cuts = np.flatnonzero(np.diff(sizes // BYTES_AT_ONCE)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                yield from parsed(batch.slice(start, end - start), known)
+    return docs.select("lang", "text").mapInArrow(run, "lang string, chunk string, last boolean, n long")
+
+
+def parsed(batch: pa.RecordBatch, known: Hashes) -> Iterator[pa.RecordBatch]:
+    texts = [(t or b"").translate(LOWER) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+    pieces = pc.split_pattern(pa.array(texts, pa.binary()).cast(pa.string()), "\n")
+    split = pc.ascii_split_whitespace(pieces.flatten())
+    words, piece = split.flatten(), pc.list_parent_indices(split)
+    there = pc.greater(pc.binary_length(words), 0)
+    words, piece = words.filter(there).dictionary_encode(), piece.filter(there).to_numpy()
+    if not len(words):
+        return
+    owner = pc.list_parent_indices(pieces).to_numpy()[piece]
+    word, texts = words.indices.to_numpy(), words.dictionary
+    hashes = np.fromiter(map(known.__getitem__, texts.cast(pa.binary()).to_pylist()), np.uint64, len(texts))
+    sizes = np.diff(np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1], [True]])))
+    start, end, last = chunk_edges(hashes[word], sizes)
     inside = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - start)]), pa.int32()),
-                                      pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(at)))
-    piece = np.repeat(np.arange(len(sizes)), sizes)
-    return pa.RecordBatch.from_arrays([lang.take(pa.array(owner[piece[start]])), pc.binary_join(inside, " "), pa.array(last)],
-                                      names=["lang", "chunk", "last"])
-
-
-def named(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, and where each value stands among them."""
-    return np.unique(pair, return_inverse=True)
-
-
-def counted(dictionary: DataFrame, lengths: tuple[int, int], bits: Any = None) -> DataFrame:
+                                      texts.take(pa.array(word[spans(start, end)])))
+    names = ["lang", "chunk", "last", "n"]
+    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[start])), pc.binary_join(inside, " "), pa.array(last),
+                                      pa.array(np.ones(len(start), np.int64))], names=names)
+    lang = batch.column(0).dictionary_encode()
+    of = lang.indices.to_numpy()[owner]
+    each, n = np.unique(of.astype(np.int64) * len(texts) + word, return_counts=True)
+    yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(each // len(texts))), texts.take(pa.array(each % len(texts))),
+                                      pa.nulls(len(each), pa.bool_()), pa.array(n)], names=names)
+
+
+def counted(dictionary: DataFrame, lengths: tuple[int, int], bits: Any) -> DataFrame:
     """lang, size, phrase, n of the phrases of `lengths` words in `dictionary`: one row
-    per phrase and task's batch, to be summed. With the `bits` of a filter, only phrases
-    all of whose pairs of neighbours pass it.
+    per phrase and task's batch, to be summed. Only phrases whose words, for two words,
+    or whose pairs of neighbours pass the filter `bits`.
 
     Within a batch words and phrases are numbered, so equal numbers are equal words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, texts, ends, times, size = [], [], [], [], 0
+        held, size = [], 0
         for batch in batches:
-            for lang, chunk, last, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                found = chunk.encode().split(b" ")
-                langs.append(lang)
-                texts.append(found)
-                ends.append(last)
-                times.append(n)
-                size += len(found)
-                if size >= AT_ONCE:
-                    yield from grams(langs, texts, ends, times, lengths, bits)
-                    langs, texts, ends, times, size = [], [], [], [], 0
-        if texts:
-            yield from grams(langs, texts, ends, times, lengths, bits)
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= BYTES_AT_ONCE:
+                yield from grams(held, lengths, bits.value)
+                held, size = [], 0
+        if held:
+            yield from grams(held, lengths, bits.value)
     return dictionary.select("lang", "chunk", "last", "n").mapInArrow(run, "lang string, size long, phrase string, n long")
 
 
-def grams(langs: list[str], texts: list[list[bytes]], ends: list[bool], times: list[int], lengths: tuple[int, int],
-          bits: Any) -> Iterator[pa.RecordBatch]:
-    over, ids = LONGEST - 1, {}
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    word = np.fromiter((ids.setdefault(w, len(ids)) for ws in texts for w in ws), np.int64, sizes.sum())
-    of = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
-    lang = np.repeat(np.array([of[x] for x in langs]), sizes)
+def grams(batches: list[pa.RecordBatch], lengths: tuple[int, int], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    lang, chunk, last, times = (pa.concat_arrays([batch.column(i) for batch in batches]) for i in range(4))
+    split, lang = pc.split_pattern(chunk, " "), lang.dictionary_encode()
+    words = split.flatten().dictionary_encode()
+    word, texts = words.indices.to_numpy().astype(np.int64), words.dictionary
+    sizes = pc.list_value_length(split).to_numpy()
     stop = np.repeat(np.cumsum(sizes), sizes)
-    weight = np.repeat(np.array(times, np.int64), sizes)
     # Words that the next chunk has too are not where a phrase starts.
-    owned = np.arange(len(word)) < stop - np.where(np.repeat(ends, sizes), 0, over)
-    name, firsts = named(word * len(of) + lang)[1], None
-    texts = pa.array(list(ids), pa.binary()).cast(pa.string())
-    good = np.ones(len(word), bool)
-    if bits is not None:
-        values = pa_hashes(ids)
-        a, b = values[word[:-1]], values[word[1:]]
-        good[:-1] = passes(bits.value, pair_hash(a, b))
-    at = np.arange(len(word))
-    for n in range(1, lengths[1] + 1):
-        if n > 1:
-            # `name` numbers the run of n - 1 words that starts at each of `at`.
-            there = (at + n <= stop[at]) & good[at + n - 2]
-            at, name = at[there], name[there]
-            pair = name * len(ids) + word[at + n - 1]
-            name = named(pair)[1]
-        if n < lengths[0]:
+    shared = np.where(last.to_numpy(zero_copy_only=False), 0, LONGEST - 1)
+    weight = np.repeat(times.to_numpy(), sizes) * (np.arange(len(word)) < stop - np.repeat(shared, sizes))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in texts.cast(pa.binary()).to_pylist()), np.uint64, len(texts))
+    if lengths[1] == 2:
+        known = passes(bits, hashes)[word]
+        good = known[:-1] & known[1:]
+    else:
+        good = passes(bits, pair_hash(hashes[word[:-1]], hashes[word[1:]]))
+    # `name` numbers the language and the run of n - 1 words that starts at each of `at`.
+    at, name = np.arange(len(word)), np.repeat(lang.indices.to_numpy(), sizes).astype(np.int64) * len(texts) + word
+    for n in range(2, lengths[1] + 1):
+        there = at + n <= stop[at]
+        there[there] = good[at[there] + n - 2]
+        at, name = at[there], name[there]
+        _, first, name = np.unique(name * len(texts) + word[at + n - 1], return_index=True, return_inverse=True)
+        if n < lengths[0] or not len(at):
             continue
-        mine = owned[at]
-        start, which = at[mine], name[mine]
-        if not len(start):
-            continue
-        which, firsts, back = np.unique(which, return_index=True, return_inverse=True)
-        total = np.zeros(len(which), np.int64)
-        np.add.at(total, back, weight[start])
-        first = start[firsts]
-        parts = [texts.take(pa.array(word[first + i])) for i in range(n)]
-        phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
-        names = pa.array(list(of), pa.string()).take(pa.array(lang[first]))
-        yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(first), n)), phrase, pa.array(total)], names=["lang", "size", "phrase", "n"])
-
-
-def pa_hashes(ids: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in ids), np.uint64, len(ids))
+        total = np.bincount(name, weight[at]).astype(np.int64)
+        mine = np.flatnonzero(total)
+        first = at[first[mine]]
+        phrase = pc.binary_join_element_wise(*(texts.take(pa.array(word[first + i])) for i in range(n)), " ")
+        of = np.searchsorted(np.cumsum(sizes), first, side="right")
+        yield pa.RecordBatch.from_arrays([lang.dictionary.take(lang.indices.take(pa.array(of))), pa.array(np.full(len(first), n)), phrase,
+                                          pa.array(total[mine])], names=["lang", "size", "phrase", "n"])
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,21 +187,22 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def pair_filter(pairs: DataFrame, size: int = FILTER) -> np.ndarray:
-    """A Bloom filter of `size` bits of the phrases of two words in `pairs`; whatever
-    their number, `size` / 64 rows at most reach the driver. A full filter lets more
-    through and loses nothing."""
+def filter_of(phrases: DataFrame, size: int = FILTER) -> np.ndarray:
+    """A Bloom filter of `size` bits of `phrases` (phrase) of one or of two words;
+    whatever their number, `size` / 64 rows at most reach the driver. A full filter lets
+    more through and loses nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
-            both = [phrase.encode().split(b" ") for phrase in batch.column(0).to_pylist()]
-            a, b = (np.fromiter((known[ws[i]] for ws in both), np.uint64, len(both)) for i in (0, 1))
-            h = pair_hash(a, b)
+            each = [phrase.split(b" ") for phrase in batch.column(0).cast(pa.binary()).to_pylist()]
+            h = np.fromiter((known[ws[0]] for ws in each), np.uint64, len(each))
+            if each and len(each[0]) == 2:
+                h = pair_hash(h, np.fromiter((known[ws[1]] for ws in each), np.uint64, len(each)))
             at = np.unique(np.concatenate([h, h >> np.uint64(32) | h << np.uint64(32)]) % np.uint64(size))
             where, first = np.unique(at >> np.uint64(6), return_index=True)
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), pa.array(value.view(np.int64))], names=["at", "bits"])
-    rows = pairs.select("phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    rows = phrases.select("phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
     out = np.zeros(size // 64, np.uint64)
     out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out
@@ -222,20 +210,26 @@ def pair_filter(pairs: DataFrame, size: int = FILTER) -> np.ndarray:
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, filter_bits: int = FILTER) -> tuple[DataFrame, DataFrame]:
     """lang, size, phrase, n of the phrases of 1 to LONGEST words that occur `least`
-    times or more in `docs` (lang, text), and lang, total of all words."""
-    spark, store = docs.sparkSession, Store(docs.sparkSession)
+    times or more in `docs` (lang, text), and lang, total of all words.
+
+    No phrase is more frequent than its words and pairs, so those that are too rare are
+    left out before longer phrases are counted.
+    """
+    context, store = docs.sparkSession.sparkContext, Store(docs.sparkSession)
     found = chunks(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"))
-    dictionary = store.put(found.groupBy("lang", "chunk", "last").agg(F.count("*").alias("n")), "dictionary")
-    by = ["lang", "size", "phrase"]
-    short = store.put(counted(dictionary, (1, 2)).groupBy(*by).agg(F.sum("n").alias("n"))
-                      .where((F.col("n") >= least) | (F.col("size") == 1)), "short-phrases")
-    totals = short.where("size = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    bits = spark.sparkContext.broadcast(pair_filter(short.where("size = 2"), filter_bits))
-    long = counted(dictionary, (3, LONGEST), bits).groupBy(*by).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    out = store.put(short.where(F.col("n") >= least).union(long), "phrases")
-    bits.unpersist()
-    store.drop(dictionary)
-    return out, totals
+    parse = store.put(found.groupBy("lang", "chunk", "last").agg(F.sum("n").alias("n")), "dictionary")
+    dictionary, words = parse.where("last IS NOT NULL"), parse.where("last IS NULL")
+    totals = store.put(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    often = store.put(words.where(F.col("n") >= least).select("lang", F.lit(1).cast("long").alias("size"), F.col("chunk").alias("phrase"), "n"), "words")
+    out, above = [often], often
+    for lengths in ((2, 2), (3, LONGEST)):
+        bits = context.broadcast(filter_of(above, filter_bits))
+        summed = counted(dictionary, lengths, bits).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+        above = store.put(summed.where(F.col("n") >= least), "phrases")
+        out.append(above)
+        bits.unpersist()
+    store.drop(parse)
+    return out[0].union(out[1]).union(out[2]), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, top: int = TOP, filter_bits: int = FILTER) -> DataFrame:
