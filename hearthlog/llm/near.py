@@ -2,9 +2,10 @@
 
 Texts within the radius meet as in `simhash`, in groups that agree on blocks of bits
 and in about how many shingles they have. A group proposes the edges of a shortest
-spanning forest only. Where all of them hold, whatever else the group could link is
-linked already; where one does not, each text of the group asks for its nearest texts
-outside its component, four times as many each round, until none is left to ask for.
+spanning forest only, over the pairs that no earlier choice of blocks brings together.
+Where all of them hold, whatever else the group could link is linked already; where one
+does not, the texts that are near another component bring their shingles, and the group
+compares all of their pairs itself and hands on a forest of those that hold.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from hearthlog.llm.graph import components
 from hearthlog.llm.simhash import AGREE, GROUP, SEED, TILE, alike, blocks, signed
 
 WORDS = 2           # of the runs a fingerprint is made of: shorter runs bring similar texts nearer than shingles do
-ASK = 8             # neighbours a text asks for at first
+SETS = 64           # texts whose shingles are compared with those of as many others at once
 STEPS = 4           # sizes lie in one class up to a factor of 1 / similarity to this power
 KNOWN = 1 << 18     # words whose hashes a task remembers
 PLACE = ["mask", "key", "class"]
@@ -112,6 +113,22 @@ def members(nodes: DataFrame, store: Store, radius: int, similarity: float, agre
         todo = store.put(rest.distinct(), "keyed")
 
 
+def earlier(mask: int, cut: list[int]) -> list[int]:
+    """The blocks of `cut` before the last one of `mask` that are not in it; none for a
+    mask that is no choice of whole blocks."""
+    mask %= 1 << 64
+    inside = [b for b in cut if b & mask == b]
+    return [b for b in cut if b < inside[-1] and not b & mask] if inside and sum(inside) == mask and len(inside) == AGREE else []
+
+
+def own(fps: np.ndarray, i: np.ndarray, j: np.ndarray, before: list[int]) -> np.ndarray:
+    """Which pairs meet here first: they differ in every earlier block."""
+    apart, first = fps[i] ^ fps[j], np.ones(len(i), bool)
+    for block in before:
+        first &= apart & np.uint64(block) != 0
+    return first
+
+
 def tiles(fps: np.ndarray, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places i, j and distance of the pairs of uint64 `fps` within `radius` bits."""
     count = np.bitwise_count(fps)
@@ -154,40 +171,75 @@ def shortest_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) ->
             label = new[new][label]
 
 
-def forest(node: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a shortest spanning forest of the nodes within `radius` bits. Nodes of
-    one fingerprint make a chain, so they are not compared with each other."""
+def forest(node: np.ndarray, fps: np.ndarray, radius: int, before: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a shortest spanning forest of the nodes within `radius` bits that meet
+    here first. Nodes of one fingerprint make a chain, so they are not compared."""
     values, first, back = np.unique(fps, return_index=True, return_inverse=True)
     by = np.argsort(back, kind="stable")
-    same = np.flatnonzero(back[by[1:]] == back[by[:-1]])
+    same = np.flatnonzero(back[by[1:]] == back[by[:-1]]) if not before else np.empty(0, np.int64)
     a = b = weight = np.empty(0, np.int64)
     for i, j, apart in tiles(values, radius):
-        a, b, weight = np.concatenate([a, i]), np.concatenate([b, j]), np.concatenate([weight, apart])
+        here = own(values, i, j, before)
+        a, b, weight = np.concatenate([a, i[here]]), np.concatenate([b, j[here]]), np.concatenate([weight, apart[here]])
         keep = shortest_forest(len(values), a, b, weight)
         a, b, weight = a[keep], b[keep], weight[keep]
     return (np.concatenate([node[by[same]], node[first[a]]]), np.concatenate([node[by[same + 1]], node[first[b]]]))
 
 
-def nearest_outside(node: np.ndarray, fps: np.ndarray, root: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The `most` nearest nodes of other roots of each node, and whether any has more."""
-    at = other = apart = np.empty(0, np.int64)
-    cut = False
-    for i, j, d in tiles(fps, radius):
-        out = root[i] != root[j]
-        i, j, d = i[out], j[out], d[out]
-        at, other, apart = np.concatenate([at, i, j]), np.concatenate([other, j, i]), np.concatenate([apart, d, d])
-        order = np.lexsort((other, apart, at))
-        at, other, apart = at[order], other[order], apart[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])[:len(at)])
-        keep = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < most
-        cut |= not keep.all()
-        at, other, apart = at[keep], other[keep], apart[keep]
-    return node[at], node[other], cut
-
-
-def each_group(rows: DataFrame, propose: Callable[..., tuple]) -> DataFrame:
-    """PLACE, a < b and cut from what `propose` makes of the other columns of each group of `rows`."""
-    columns = [c for c in rows.columns if c not in PLACE]
+def outside(node: np.ndarray, fps: np.ndarray, root: np.ndarray, radius: int, before: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that have one of another root within `radius` bits, twice."""
+    there = np.zeros(len(node), bool)
+    for i, j, _ in tiles(fps, radius):
+        far = (root[i] != root[j]) & own(fps, i, j, before)
+        there[i[far]] = there[j[far]] = True
+    return node[there], node[there]
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of `left` has in common with each of `right`."""
+    values = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for sets in (left, right):
+        table = np.zeros((len(sets), len(values)), np.float32)
+        for row, one in zip(table, sets):
+            at = np.searchsorted(values, one)
+            at[at == len(values)] = 0
+            row[at[values[at] == one] if len(values) else []] = 1
+        sides.append(table)
+    return sides[0] @ sides[1].T
+
+
+def alike_edges(node: np.ndarray, fps: np.ndarray, root: np.ndarray, words: np.ndarray, radius: int, before: list[int],
+                similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, over what `root` connects already, of all pairs within
+    `radius` bits that are similar enough."""
+    sets = [np.frombuffer(w, "<u4") for w in words]
+    size, label = np.array([len(x) for x in sets]), np.unique(root, return_inverse=True)[1]
+    out = [(np.empty(0, np.int64),) * 2]
+    for i in range(0, len(node), SETS):
+        for j in range(i, len(node), SETS):
+            a, b = (x.ravel() for x in np.meshgrid(np.arange(i, min(i + SETS, len(node))), np.arange(j, min(j + SETS, len(node))), indexing="ij"))
+            near = (a < b) & (label[a] != label[b]) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
+            near[near] = own(fps, a[near], b[near], before)
+            if not near.any():
+                continue
+            a, b = a[near], b[near]
+            both = shared(sets[i:i + SETS], sets[j:j + SETS])[a - i, b - j].astype(np.int64)
+            whole = size[a] + size[b] - both
+            good = np.where(whole > 0, both >= similarity * whole, True)
+            a, b = a[good], b[good]
+            keep = shortest_forest(int(label.max()) + 1, label[a], label[b], np.zeros(len(a)))
+            for x, y in zip(a[keep], b[keep]):
+                label[label == label[y]] = label[x]
+            out.append((node[a[keep]], node[b[keep]]))
+    a, b = (np.concatenate(side) for side in zip(*out))
+    return a, b
+
+
+def each_group(rows: DataFrame, propose: Callable[..., tuple], radius: int, agree: int) -> DataFrame:
+    """PLACE and a <= b of what `propose` makes of the other columns of each group of
+    `rows` and of the blocks that are earlier than the group's."""
+    columns, cut = [c for c in rows.columns if c not in PLACE], blocks((1 << 64) - 1, radius + agree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -202,17 +254,17 @@ def each_group(rows: DataFrame, propose: Callable[..., tuple]) -> DataFrame:
             yield from proposed(rest, np.array([len(rest)]))
 
     def proposed(table: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        data, out = [table[c].to_numpy() for c in columns], []
+        data, out, mask = [table[c].to_numpy() for c in columns], [], table["mask"].to_numpy()
         for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
-            a, b, *cut = propose(*(d[start:end] for d in data))
+            a, b = propose(*(d[start:end] for d in data), earlier(int(mask[start]), cut))
             if len(a):
-                out.append((np.full(len(a), start), np.minimum(a, b), np.maximum(a, b), np.full(len(a), bool(cut and cut[0]))))
+                out.append((np.full(len(a), start), np.minimum(a, b), np.maximum(a, b)))
         if out:
-            at, a, b, cut = (np.concatenate(c) for c in zip(*out))
+            at, a, b = (np.concatenate(c) for c in zip(*out))
             place = [pa.array(table[c].to_numpy()[at]) for c in PLACE]
-            yield pa.RecordBatch.from_arrays([*place, pa.array(a), pa.array(b), pa.array(cut)], names=[*PLACE, "a", "b", "cut"])
+            yield pa.RecordBatch.from_arrays([*place, pa.array(a), pa.array(b)], names=[*PLACE, "a", "b"])
     return rows.select(*PLACE, *columns).repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(
-        run, "mask long, key long, class long, a long, b long, cut boolean")
+        run, "mask long, key long, class long, a long, b long")
 
 
 def word_sets(docs: DataFrame, stands: DataFrame, words: int) -> DataFrame:
@@ -241,7 +293,7 @@ def judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long, good boolean")
 
 
-def near_copies(docs: DataFrame, radius: int, words: int, similarity: float, agree: int = AGREE, group: int = GROUP, ask: int = ASK) -> DataFrame:
+def near_copies(docs: DataFrame, radius: int, words: int, similarity: float, agree: int = AGREE, group: int = GROUP) -> DataFrame:
     """doc_id, text_hash and `root` of every row of `docs` (doc_id, text): roots are
     equal where texts have equal words or are connected by pairs within `radius` bits
     whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more.
@@ -255,25 +307,21 @@ def near_copies(docs: DataFrame, radius: int, words: int, similarity: float, agr
     marked = store.put(marks(docs, words), "marks")
     nodes = store.put(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(F.struct(*KEY)).alias("stand")), "nodes")
     groups = store.put(members(nodes.select("node", "fp", "size"), store, radius, similarity, agree, group), "groups")
-    todo = store.put(each_group(groups, lambda node, fp: forest(node, fp.view(np.uint64), radius)), "proposed")
-    ends = todo.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    tried = store.put(each_group(groups, lambda node, fp, before: forest(node, fp.view(np.uint64), radius, before), radius, agree), "proposed")
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stands = store.put(nodes.join(ends, "node", "left_semi").select("stand.*", "node"), "stands")
     sets = store.put(word_sets(docs, stands, words), "shingles")
-    known = None
-    while True:
-        pairs = todo.select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = store.put(judged(pairs, sets, similarity), "judged")
-        first, known = known is None, pairs if known is None else known.union(pairs)
-        roots = components(known.where("good").select("a", "b"), store)
-        # A forest whose edges all hold is done; later on, a group none of whose texts had more to ask for.
-        again = todo.join(known.where("NOT good").select("a", "b"), ["a", "b"], "left_semi") if first else todo.where("cut")
-        again = store.put(again.select(*PLACE).distinct(), "again")
-        if again.isEmpty():
-            break
-        rows = groups.join(again, PLACE, "left_semi").join(roots, "node", "left").select(
-            *PLACE, "node", "fp", F.coalesce("root", "node").alias("root"))
-        todo = store.put(each_group(rows, lambda node, fp, root, most=ask: nearest_outside(node, fp.view(np.uint64), root, radius, most)), "proposed")
-        ask *= 4
+    first = store.put(judged(tried.select("a", "b").distinct(), sets, similarity), "judged")
+    linked = first.where("good").select("a", "b")
+    roots = components(linked, store)
+    # A group is looked at again where an edge of its forest does not hold.
+    again = store.put(tried.join(first.where("NOT good").select("a", "b"), ["a", "b"], "left_semi").select(*PLACE).distinct(), "again")
+    if not again.isEmpty():
+        rows = store.put(groups.join(again, PLACE, "left_semi").join(roots, "node", "left").select(
+            *PLACE, "node", "fp", F.coalesce("root", "node").alias("root")), "rows-again")
+        met = each_group(rows, lambda node, fp, root, before: outside(node, fp.view(np.uint64), root, radius, before), radius, agree)
+        met = rows.join(store.put(met.select(*PLACE, F.col("a").alias("node")), "outside"), [*PLACE, "node"], "left_semi").join(sets, "node")
+        more = each_group(met, lambda node, fp, root, found, before: alike_edges(
+            node, fp.view(np.uint64), root, found, radius, before, similarity), radius, agree)
+        roots = components(linked.union(store.put(more.select("a", "b"), "more")), store)
     return marked.join(roots, "node", "left").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text_hash"), F.coalesce("root", "node").alias("root"))

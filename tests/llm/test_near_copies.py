@@ -85,35 +85,53 @@ def test_two_families_joined_by_few_pairs_are_one_component(documents):
     rows = list(enumerate(" ".join(ws) for ws in family(base, 60) + family(other, 60) + [bridge]))
     sets = [grams(text) for _, text in rows]
     across = [(a, b) for a in range(60) for b in range(60, 120) if alike(sets[a], sets[b]) >= 0.8]
-    found = near.near_copies(documents(rows).repartition(3), 14, 5, 0.8, ask=2).collect()
+    found = near.near_copies(documents(rows).repartition(3), 14, 5, 0.8).collect()
     assert not across and len({r["root"] for r in found}) == 1
-    found = near.near_copies(documents(rows[:120]).repartition(3), 14, 5, 0.8, ask=2).collect()
+    found = near.near_copies(documents(rows[:120]).repartition(3), 14, 5, 0.8).collect()
     assert len({r["root"] for r in found}) == 2
 
 
-def test_shortest_forest_and_nearest_outside():
+def test_forests_equal_brute_force():
     rng = np.random.default_rng(1)
-    for _ in range(50):
-        n = int(rng.integers(1, 40))
-        fps = rng.integers(0, 1 << 10, n).astype(np.uint64)
+    for _ in range(60):
+        n = int(rng.integers(1, 200))
+        fps = rng.integers(0, 1 << 8, n).astype(np.uint64)
         node = rng.permutation(1000)[:n]
-        radius = int(rng.integers(0, 5))
-        a, b = near.forest(node, fps, radius)
+        radius = int(rng.integers(0, 4))
+        a, b = near.forest(node, fps, radius, [])
         place = {int(x): i for i, x in enumerate(node)}
         apart = [[(int(x) ^ int(y)).bit_count() for y in fps] for x in fps]
-        label, cost = list(range(n)), 0
-        for d, i, j in sorted((apart[i][j], i, j) for i in range(n) for j in range(i) if apart[i][j] <= radius):
-            if label[i] != label[j]:
-                label, cost = [label[i] if x == label[j] else x for x in label], cost + d
-        assert sum(apart[place[int(x)]][place[int(y)]] for x, y in zip(a, b)) == cost and len(a) == n - len(set(label))
-        root = rng.integers(0, 3, n)
-        at, other, cut = near.nearest_outside(node, fps, root, radius, 2)
-        want, more = set(), False
-        for i in range(n):
-            out = sorted((apart[i][j], j) for j in range(n) if root[i] != root[j] and apart[i][j] <= radius)
-            more |= len(out) > 2
-            want |= {(int(node[i]), int(node[j])) for _, j in out[:2]}
-        assert set(zip(at.tolist(), other.tolist())) == want and cut == more
+        pairs = sorted((apart[i][j], i, j) for i in range(n) for j in range(i) if apart[i][j] <= radius)
+
+        def spanned(label, pairs):
+            cost = many = 0
+            for d, i, j in pairs:
+                if label[i] != label[j]:
+                    label, cost, many = [label[i] if x == label[j] else x for x in label], cost + d, many + 1
+            return label, cost, many
+        label, cost, many = spanned(list(range(n)), pairs)
+        assert sum(apart[place[int(x)]][place[int(y)]] for x, y in zip(a, b)) == cost and len(a) == many
+        root = rng.integers(0, 50, n)
+        met = near.outside(node, fps, root, radius, [])[0]
+        assert set(met.tolist()) == {int(node[k]) for _, i, j in pairs if root[i] != root[j] for k in (i, j)}
+        sets = [np.unique(rng.integers(0, 12, rng.integers(0, 9))).astype("<u4") for _ in range(n)]
+        a, b = near.alike_edges(node, fps, root, [x.tobytes() for x in sets], radius, [], 0.5)
+        good = [(0, i, j) for _, i, j in pairs if near.alike(sets[i], sets[j]) >= 0.5]
+        want, _, many = spanned([int(r) for r in root], good)
+        got, _, _ = spanned([int(r) for r in root], [(0, place[int(x)], place[int(y)]) for x, y in zip(a, b)])
+        assert len(a) == many and len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_every_pair_meets_first_in_one_group():
+    rng = np.random.default_rng(2)
+    cut = near.blocks((1 << 64) - 1, 13)
+    masks = [cut[p] | cut[q] for p in range(13) for q in range(p + 1, 13)]
+    for _ in range(200):
+        x = int(rng.integers(0, 1 << 63))
+        y = x ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 12), replace=False))
+        pair = np.array([x, y], np.uint64)
+        there = [m for m in masks if x & m == y & m]
+        assert sum(bool(near.own(pair, np.array([0]), np.array([1]), near.earlier(near.signed(m), cut))[0]) for m in there) == 1
 
 
 def test_no_rows(documents):
