@@ -289,7 +289,7 @@ def v8_retraction(spark, sf_dir):
 
 # A log with every slot forecast at every horizon, written twice.
 FLOG = """
-fl AS MATERIALIZED (SELECT household_id, subject, t AS target_slot, horizon_h, near_lag AS p FROM smp WHERE near_lag > -1)"""
+fl AS MATERIALIZED (SELECT household_id, subject || '' AS subject, t AS target_slot, horizon_h, near_lag AS p FROM smp WHERE near_lag > -1)"""
 
 
 def forecast_log(spark, sf_dir):
