@@ -83,14 +83,18 @@ def target_slots(table: DataFrame, weeks: int = CLIMATOLOGY_WEEKS,
 
 
 def samples(table: DataFrame, horizons: Sequence[int] = HORIZONS_H, origin: Sequence[str] = (),
-            weeks: int = CLIMATOLOGY_WEEKS, wide_weeks: int = WIDE_CLIMATOLOGY_WEEKS) -> DataFrame:
+            weeks: int = CLIMATOLOGY_WEEKS, wide_weeks: int = WIDE_CLIMATOLOGY_WEEKS,
+            near: Sequence[str] = ()) -> DataFrame:
     """One row per (subject, slot, horizon), each seeing only what its origin could.
 
-    `table` reaches `AHEAD_SLOTS` past the grid, with NULL `home_frac` there.
+    `table` reaches `AHEAD_SLOTS` past the grid, with NULL `home_frac` there. A name x
+    in `near` has columns `x_from_1` and `x_from_2`, facts of the target slot a day
+    and two days back, and gets the nearest legal one.
     """
     targets = target_slots(table, weeks, wide_weeks)
     w = Window.partitionBy(*SID).orderBy("slot")
-    target = F.struct(F.col("home_frac").alias("y"), *TARGET_FIELDS)
+    seen = [f"{x}_from_{k}" for x in near for k in (1, 2)]
+    target = F.struct(F.col("home_frac").alias("y"), *TARGET_FIELDS, *seen)
     ahead = [F.struct(F.lit(h).alias("horizon_h"),
                       F.lead(target, SLOTS_PER_HOUR * h).over(w).alias("target")) for h in horizons]
     # The leads sit in the window's projection; `explode` then only reads them.
@@ -100,14 +104,16 @@ def samples(table: DataFrame, horizons: Sequence[int] = HORIZONS_H, origin: Sequ
             .select(*keep, F.explode(F.array(*[f"_h{h}" for h in horizons])).alias("_s"))
             .select(*keep, "_s.horizon_h", "_s.target.*"))
     h = F.col("horizon_h")
-    near = F.when(lag_is_legal(1, h), 1).otherwise(2)
+    back = F.when(lag_is_legal(1, h), 1).otherwise(2)
     out = rows.withColumn("target_slot", F.col("slot") + h * SLOTS_PER_HOUR)
     for k in DAILY_LAGS:
         if not lag_is_legal(k, max(horizons)):
             out = out.withColumn(f"lag{k}d", F.when(lag_is_legal(k, h), F.col(f"lag{k}d")))
-    out = (out.withColumn("sclim14", F.when(near == 1, F.col("sclim_from_1")).otherwise(F.col("sclim_from_2")))
-           .withColumn("near_lag", F.when(near == 1, F.col("lag1d")).otherwise(F.col("lag2d")))
-           .withColumn("other_lag_days", near)
+    out = (out.withColumn("sclim14", F.when(back == 1, F.col("sclim_from_1")).otherwise(F.col("sclim_from_2")))
+           .withColumn("near_lag", F.when(back == 1, F.col("lag1d")).otherwise(F.col("lag2d")))
+           .withColumns({x: F.when(back == 1, F.col(f"{x}_from_1")).otherwise(F.col(f"{x}_from_2")) for x in near})
+           .drop(*seen)
+           .withColumn("other_lag_days", back)
            .drop("sclim_from_1", "sclim_from_2")
            .withColumn("state_now", F.col("home_frac")))
     if "next_alarm_h" in origin:
@@ -148,6 +154,18 @@ def with_others_lagged(rows: DataFrame, table: DataFrame, roles: Sequence[str])
     return out.drop("_seen_slot", *[f"_o_{role}" for role in roles])
 
 
+def with_others_before(table: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """Where everyone else was in this slot one and two days ago, for `samples` to
+    read ahead: slots meet slots, so horizons cost no join."""
+    out = table
+    for days in (1, 2):
+        wide = household_wide(table, roles, "_o_").withColumn("slot", F.col("slot") + days * SLOTS_PER_DAY)
+        out = out.join(wide, ["household_id", "slot"], "left")
+        out = out.withColumns({f"other_{role}_lag_from_{days}": F.when(F.col("role") != role, F.col(f"_o_{role}"))
+                               for role in roles}).drop(*[f"_o_{role}" for role in roles])
+    return out
+
+
 def usable_rows(rows: DataFrame, required: Sequence[str] = ("y", "state_now", "coverage")) -> DataFrame:
     """Rows a score or a fit may use; every other column may be NULL."""
     return rows.dropna(subset=list(required))

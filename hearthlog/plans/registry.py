@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hearthlog.plans import days, evaluate, features, grid, log, models, serve, stream
+from hearthlog.plans import chain, days, evaluate, features, grid, log, models, serve, stream
 
-MODULES = (log, grid, features, evaluate, days, serve, models, stream)
+MODULES = (log, grid, features, evaluate, days, serve, models, stream, chain)
 
 
 def queries():
