@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlog.functions import clock
+from hearthlog.operators.features import deepest_lookback_days
 from hearthlog.schema import HORIZONS_H, SID, SLOT_US, SLOTS_PER_HOUR
 
 # Served thresholds.
 THRESHOLD, MIN_HOURS, ROUTINE_MAX_SHIFT_US = 0.5, 2, 3 * 3_600_000_000
 
 
+def lookback_days() -> int:
+    """How many days a serving pass reads: the deepest feature, the longest horizon, slack."""
+    return deepest_lookback_days() + max(HORIZONS_H) // 24 + 2
+
+
 def current_rows(table: DataFrame) -> DataFrame:
     """The newest row of each subject with a usable state."""
     rest = [c for c in table.columns if c not in SID]

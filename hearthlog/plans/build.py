@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthlog.functions import clock
 from hearthlog.operators import grid as g
+from hearthlog.operators import household
 from hearthlog.schema import HOUSE, SID
 from hearthlog.session import written
 from hearthlog.sources import driver
@@ -68,8 +69,10 @@ def slots(ev: DataFrame, extra_slots: int = 0) -> DataFrame:
     return g.blanked(out, g.live_spans(ev), ["home_frac", "minutes_in_state"])
 
 
-def origins(ev: DataFrame, extra_slots: int = 0, tz: str = "UTC") -> DataFrame:
-    """One row per (subject, slot): state, zones, travel, alarm and calendar."""
+def origins(ev: DataFrame, extra_slots: int = 0, tz: str = "UTC", settings: DataFrame | None = None,
+            holidays: DataFrame | None = None) -> DataFrame:
+    """One row per (subject, slot): state, zones, travel, alarm and calendar, the last by
+    the clock and holidays of each household where `settings` and `holidays` are given."""
     signals = g.resolve_zones(person_grid_signals(ev).where("signal = 'presence'"), driver.zones(ev))
     zoned = signals.select("household_id", "subject", F.lit("presence").alias("signal"), "ts_us", "seq",
                            F.col("zone").alias("value"))
@@ -87,9 +90,11 @@ def origins(ev: DataFrame, extra_slots: int = 0, tz: str = "UTC") -> DataFrame:
     out = g.blanked(out, g.live_spans(ev),
                     ["home_frac", "minutes_in_state", *ZONES, "distance_km", "distance_delta_30m",
                      "distance_delta_60m", "dir_towards", "dir_away"])
-    out = g.with_house_zones(out, ZONES)
+    out = g.with_house_zones(out, ZONES).withColumn("state_now", F.col("home_frac"))
+    if settings is not None:
+        return household.with_calendar(out, settings, holidays)
     local = clock.localise(clock.slot_start(F.col("slot")), tz)
-    return out.withColumns(clock.calendar(local)).withColumn("state_now", F.col("home_frac"))
+    return out.withColumns(clock.calendar(local))
 
 
 def day_slots(ev: DataFrame) -> DataFrame:

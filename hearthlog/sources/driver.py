@@ -83,3 +83,26 @@ def zones(ev: DataFrame) -> DataFrame:
 
 def direction_people(ev: DataFrame) -> DataFrame:
     return ev.where(F.col("user_id") % 3 == 0).select("household_id", "subject").distinct()
+
+
+# When one household in four moves, and the holidays of the span.
+MOVED_US = 1_705_276_800_000_000
+HOLIDAYS = (("NL", "2024-01-01"), ("US", "2024-01-01"), ("US", "2024-01-15"))
+
+
+def settings(ev: DataFrame) -> DataFrame:
+    """Clocks of three places; one household in four moves on, one in five has no calendar."""
+    number = F.col("household_id")
+    zones = F.array(F.lit("Europe/Amsterdam"), F.lit("America/New_York"), F.lit("Asia/Kolkata"))
+    homes = ev.select("household_id").distinct().withColumn(
+        "country", F.when(number % 5 == 4, None).when(number % 2 == 0, "NL").otherwise("US"))
+    first = homes.select("household_id", F.lit(0).cast("long").alias("valid_from_us"),
+                         F.get(zones, (number % 3).cast("int")).alias("tz"), "country")
+    moved = homes.where(number % 4 == 0).select(
+        "household_id", F.lit(MOVED_US).alias("valid_from_us"), F.lit("Asia/Tokyo").alias("tz"), "country")
+    return first.unionByName(moved)
+
+
+def holidays(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(HOLIDAYS, "country string, day string")
+    return rows.select("country", F.to_date("day").alias("date"))
