@@ -31,12 +31,14 @@ def query(name, oracle=None):
 # --- waking ------------------------------------------------------------------------
 
 @query("v12_debounced_cycles", sql(["RECURSIVE " + EVENTS.strip(), f"""
+heard AS MATERIALIZED (SELECT household_id, ts_us, lag(ts_us, 1, -1) OVER (PARTITION BY household_id ORDER BY ts_us) AS before
+                       FROM (SELECT DISTINCT household_id, ts_us FROM ev)),
 cyc AS (
   SELECT household_id, min(ts_us) AS cycle_us, CAST(0 AS BIGINT) AS polls FROM ev GROUP BY ALL
   UNION ALL
   SELECT household_id, greatest(t, since + polls * {trigger.POLL_US} + {trigger.FLOOR_US}), polls
   FROM (SELECT c.household_id, c.cycle_us AS since, e.ts_us AS t, (e.ts_us - c.cycle_us - 1) // {trigger.POLL_US} AS polls
-        FROM cyc c ASOF JOIN ev e ON c.household_id = e.household_id AND c.cycle_us < e.ts_us)),
+        FROM cyc c JOIN heard e ON c.household_id = e.household_id AND c.cycle_us < e.ts_us AND c.cycle_us >= e.before)),
 spans AS (SELECT *, lag(cycle_us, 1, -1) OVER (PARTITION BY household_id ORDER BY cycle_us) AS before FROM cyc),
 open AS (SELECT (max(ts_us) // 1000 - 90 * 60000 - 1) * 1000 AS until_us FROM ev)"""], """
 SELECT s.household_id, cycle_us, count(*) AS answered, polls FROM spans s JOIN ev e ON e.household_id = s.household_id AND e.ts_us <= cycle_us AND e.ts_us > before
