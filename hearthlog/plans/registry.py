@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hearthlog.plans import chain, days, evaluate, features, grid, live, local, log, models, serve, stream
+from hearthlog.plans import arrivals, chain, days, evaluate, features, grid, live, local, log, models, serve, stream
 
-MODULES = (log, grid, features, evaluate, days, serve, models, stream, chain, local, live)
+MODULES = (log, grid, features, evaluate, days, serve, models, stream, chain, local, live, arrivals)
 
 
 def queries():
