@@ -290,6 +290,12 @@ def d20_score_subjects(spark, sf_dir):
     return rounded(out.select(*SID, "n_scored", "n_buckets", "base_rate", "brier", "baseline_brier", "beat"), "base_rate", "brier", "baseline_brier")
 
 
-@query("d20_hour_errors")
+@query("d20_hour_errors", sql(DAY_SQL + WALK + ["""
+he AS (SELECT household_id, subject, coalesce(wday_hour, recent_hour, all_hour) - departure_hour AS e
+       FROM wf w JOIN cz USING (household_id, subject, date) WHERE w.y > 0)"""], """
+SELECT household_id, subject, round(avg(abs(e)), 6) AS mae_h, round(median(abs(e)), 6) AS median_ae_h, round(avg(CAST(abs(e) <= 1 AS INT)) * 100, 6) AS within_1h_pct,
+       round(avg(CAST(abs(e) >= 3 AS INT)) * 100, 6) AS over_3h_pct, round(median(e), 6) AS median_signed_h
+FROM he WHERE e IS NOT NULL GROUP BY ALL"""))
 def d20_hour_errors(spark, sf_dir):
-    return d.hour_errors(d.walk_forward(d.causal(labelled(spark, sf_dir)), min_days=5))
+    out = d.hour_errors(d.walk_forward(d.causal(labelled(spark, sf_dir)), min_days=5))
+    return rounded(out, "mae_h", "median_ae_h", "within_1h_pct", "over_3h_pct", "median_signed_h")
