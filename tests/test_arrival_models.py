@@ -25,10 +25,10 @@ def journeys(spark):
 
 
 def test_a_model_that_sees_the_hour_ships_and_no_row_is_scored_by_its_own_fit(spark, journeys):
-    rows = em.placed(journeys, 10, 15, 20)
+    rows = em.placed(journeys, 13, 15, 20).cache()
     late = rows.where("test_fold is not null and train_from <= test_fold")
     assert late.count() == 0
-    told = em.out_of_fold(rows, rounds=30, min_leaf=5).cache()
+    told = em.out_of_fold(rows, rounds=8, min_leaf=5).cache()
     assert told.count() == rows.where("test_fold is not null").count()
     verdicts = em.gate(em.fold_scores(told), min_samples=100).collect()
     assert len(verdicts) == 2 and all(v["ships"] and v["beat"] == v["n_folds"] and v["skill_pct"] > 15 for v in verdicts)
@@ -36,7 +36,7 @@ def test_a_model_that_sees_the_hour_ships_and_no_row_is_scored_by_its_own_fit(sp
 
 
 def test_the_speed_of_a_fold_is_that_of_journeys_before_it(spark, journeys):
-    rows = em.placed(journeys, 10, 15, 20)
+    rows = em.placed(journeys, 13, 15, 20).cache()
     got = {(r["subject"], r["fold"]): r["kmh"] for r in em.speeds(rows).collect()}
     for (who, fold), kmh in got.items():
         start = rows.where(F.col("test_fold") == fold).agg(F.min("at_us")).first()[0]
@@ -57,7 +57,7 @@ def test_the_gate_asks_for_majority_and_skill(spark):
 
 def test_only_shipped_subjects_on_their_way_are_served(spark, journeys):
     known = eta.implied_kmh(journeys, ["household_id", "subject"])
-    model = em.fit(journeys.join(known, ["household_id", "subject"]), rounds=5, min_leaf=5)
+    model = em.fit(journeys.join(known, ["household_id", "subject"]), rounds=2, min_leaf=5)
     coming = journeys.where("subject = 'fast'").limit(1).drop("minutes_to_home").unionByName(
         journeys.where("subject = 'slow'").limit(1).drop("minutes_to_home"))
     verdicts = spark.createDataFrame([(0, "fast", True), (0, "slow", False)], "household_id long, subject string, ships boolean")
